@@ -6,8 +6,11 @@ floor(target / size of source) times, and the fraction that is left is its
 inclusion probability.  The flight phase of the cube method moves the
 probabilities of a block along the null space of the balancing constraints
 (documents and words), so both totals stay exact, until at most two documents
-of a block are undecided.  Those of all blocks fly again in larger and larger
-blocks; the last two of a source land with the document constraint dropped.
+of a block are undecided.  The longest documents of a block go first, each along
+a direction that spreads its words over all others, as no pair of short ones
+could balance it later.  Those undecided of all blocks fly again in larger and
+larger blocks; the last two of a source land with the document constraint
+dropped.
 
 Nulls: a null text has no words, a null source is a source of its own (last).
 Repeated rows are separate documents.  Random choices are hashes of the id,
@@ -19,6 +22,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +31,7 @@ from .storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 4096
+LARGE = 64
 TIE = 1e-9
 
 
@@ -51,6 +56,30 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
     return rows.select("source", "source_size", "n", F.when(F.col("k") < F.coalesce("first", F.lit(2**31 - 1)), F.col("cap")).otherwise(F.col("flat") * F.col("w")).alias("target"))
 
 
+def settle_longest(p: np.ndarray, x: np.ndarray, draw: random.Random, count: int) -> np.ndarray:
+    """Settle the ``count`` longest documents (``x`` descends), spreading their words over all others."""
+    for i in range(min(count, len(p))):
+        while 0 < p[i] < 1:
+            u = ((p > 0) & (p < 1)).astype(float)
+            u[i] = 0
+            n, s, q = u.sum(), u @ x, u @ (x * x)
+            if not n:
+                return p
+            wide = n * q - s * s
+            if n >= 32 and wide > 1e-6 * n * q:  # documents and words both stay
+                b = (s - n * x[i]) / wide
+                u *= (-1 - b * s) / n + b * x
+            else:
+                u *= -x[i] / s
+            u[i] = 1
+            with np.errstate(divide="ignore", invalid="ignore"):
+                up = np.where(u > 0, (1 - p) / u, np.where(u < 0, p / -u, np.inf)).min()
+                down = np.where(u > 0, p / u, np.where(u < 0, (1 - p) / -u, np.inf)).min()
+            p = p + u * (up if draw.random() * (up + down) < down else -down)
+            p[p < TIE], p[p > 1 - TIE] = 0, 1
+    return p
+
+
 def flight(p: list[float], x: list[float], draw: random.Random, land: bool) -> list[float]:
     """The flight phase for the constraints 'documents' and 'words'; ``land`` settles the rest too."""
     p, n = list(p), len(p)
@@ -97,7 +126,9 @@ def _fly(seed: int, land: bool):
         # from the longest document down, so that those undecided at the end are short
         order = table.sort_by([("size", "descending"), ("h", "ascending"), ("doc_id", "ascending")])
         h = order.column("h").to_pylist()
-        p = flight(order.column("p").to_pylist(), order.column("size").cast(pa.float64()).to_pylist(), random.Random(seed ^ h[0] ^ len(h)), land)
+        x, draw = order.column("size").cast(pa.float64()).to_numpy(), random.Random(seed ^ h[0] ^ len(h))
+        p = settle_longest(order.column("p").to_numpy().copy(), x, draw, len(x) if land and len(x) <= 4 * LARGE else LARGE)
+        p = flight(p.tolist(), x.tolist(), draw, land)
         return order.set_column(order.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
     return run
