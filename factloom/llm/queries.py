@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import license_scan, mtree, sharding
 from .license_scan import op4_minhash_license_scan
+from .lm_scoring import op8_attention_lm_scoring
 from .mixing import op10_cube_mixing
 from .mtree import op1_mtree_topk
 from .near_dedup import op6_minmax_near_dedup
@@ -21,7 +22,7 @@ def _pipeline(spark, sf_dir):
 
 
 def queries():
-    found = [op1_mtree_topk, op2_hierarchical_packing, op3_rff_quality, op4_minhash_license_scan, op5_extendible_sharding, op6_minmax_near_dedup, op7_levenshtein_toxicity, op9_js_quality_rules, op10_cube_mixing]
+    found = [op1_mtree_topk, op2_hierarchical_packing, op3_rff_quality, op4_minhash_license_scan, op5_extendible_sharding, op6_minmax_near_dedup, op7_levenshtein_toxicity, op8_attention_lm_scoring, op9_js_quality_rules, op10_cube_mixing]
     return {f.__name__: f for f in found} | {"pipeline": _pipeline}
 
 
