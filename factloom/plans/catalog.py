@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalar
+from ..functions import scalar, symbolic
 from ..operators import dataflow, graph, lint, resolve, rewrite, search
+from ..sources import fortran
 from ..sources import pages as page_source
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
@@ -423,6 +424,34 @@ def scalar_matrix_rows(t):
     return t.embeddings.select("vec_id", n.alias("nonzero"), (n == 1).alias("independent"))
 
 
+@query("SELECT p_partkey, (p_size + 2) || '*x + y' AS simple, CASE WHEN p_size > 5 THEN 1 WHEN p_size < 5 THEN -1 ELSE 0 END::INTEGER AS sign FROM part")
+def symbolic_simplify(t):
+    p = t.part.select("p_partkey", F.concat(F.lit("x + "), F.col("p_size").cast("string"), F.lit("*X + (y - x) + 2*x")).alias("e"), F.concat(F.lit("n + "), F.col("p_size").cast("string")).alias("a"))
+    return p.select("p_partkey", symbolic.simplify("e").alias("simple"), symbolic.compare("a", F.lit("2 + n + 3")).alias("sign"))
+
+
+def customer_units(t) -> DataFrame:
+    """A source file a customer: a module with a routine that calls one routine an order."""
+    calls = t.orders.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("  call O"), F.col("o_orderkey").cast("string"), F.lit("(x, & ! note\n   & y)\n")))), "").alias("body"))
+    head = F.concat(F.lit("module m"), F.col("o_custkey").cast("string"), F.lit("\n use base, only: r => raw, s\ncontains\nsubroutine C"), F.col("o_custkey").cast("string"), F.lit("\n"))
+    return calls.select(F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("path"), F.concat(head, "body", F.lit("end subroutine\nend module\n")).alias("text"))
+
+
+@query("SELECT 'f' || o_custkey AS path, 'c' || o_custkey AS caller, 'o' || o_orderkey AS name FROM orders")
+def source_calls(t):
+    return fortran.calls(fortran.statements(customer_units(t))).select("path", "caller", "name")
+
+
+@query("SELECT DISTINCT 'module' AS kind, 'm' || o_custkey AS lname, NULL AS parent FROM orders UNION ALL SELECT DISTINCT 'subroutine', 'c' || o_custkey, 'm' || o_custkey FROM orders")
+def source_units(t):
+    return fortran.units(fortran.statements(customer_units(t))).select("kind", "lname", "parent")
+
+
+@query("SELECT DISTINCT 'm' || o_custkey AS scope, 'base' AS module, u.l AS local_name, u.n AS use_name FROM orders, (VALUES ('r', 'raw'), ('s', NULL)) u(l, n)")
+def source_imports(t):
+    return fortran.imports(fortran.statements(customer_units(t))).select("scope", "module", "local_name", "use_name")
+
+
 # --- rewrites ---------------------------------------------------------------
 
 
