@@ -141,7 +141,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], ["a", "c"])
 
     held = F.pmod(F.xxhash64("id"), F.lit(4)) == 0
-    parts = rows.where(~held).select("s", "y").repartition(sum_partitions, F.xxhash64("s")).mapInArrow(sums, "a binary, c binary").collect()
+    parts = rows.where(~held).select("s", "y").coalesce(sum_partitions).mapInArrow(sums, "a binary, c binary").collect()  # at most sum_partitions rows
     a = sum(np.frombuffer(r["a"]) for r in parts).reshape(features + 1, -1)
     model.beta = np.linalg.solve(a + ridge * max(np.trace(a), 1e-9) / (features + 1) * np.eye(features + 1), sum(np.frombuffer(r["c"]) for r in parts))
     kept = rows.where(held).select("s", "y").collect()  # bounded by sample_rows
