@@ -11,10 +11,14 @@ Order of work, so that large groups stay linear:
 1.  Documents with the same shingle set form a class (128-bit set hash).
 2.  Each class proposes one link, to the smallest member of the band buckets
     it shares most often; confirmed links give first components.
-3.  In buckets that still hold several components, the members of different
-    components are compared, in blocks of ``block`` rows, by signature; pairs
-    whose estimate is within five standard deviations of the threshold are
-    confirmed on full sets.  Pairs within one component are never formed.
+3.  In buckets that still hold several components, each row proposes the member
+    of another component whose signature is nearest; confirmed links join
+    components, and this is repeated while it finds links (``rounds`` at most).
+4.  Members of buckets that are still mixed are compared across components,
+    in blocks of ``block`` rows that carry their full sets; a pair whose
+    signature estimate is within five standard deviations of the threshold is
+    confirmed where it is met, in the first band it shares, and only links
+    leave the block.  Pairs within one component are never formed.
 
 Nulls: a null text counts as empty; empty documents are linked with nothing.
 A null id takes part in links, but a component's id is its smallest non-null
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .kernel import mix, shingles, word_hashes
-from .storage import materialize
+from .storage import discard, materialize
 
 BLOOM_BITS = 23
 
@@ -133,43 +137,65 @@ def shingle_sets(docs: DataFrame, text_col: str, words: int, wanted: DataFrame)
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "h1 long, h2 long, items array<long>")
 
 
-def confirm(docs: DataFrame, text_col: str, words: int, pairs: DataFrame, classes: DataFrame, part: int, whole: int) -> DataFrame:
-    """Of ``pairs`` (src, dst) of classes, those with whole * intersection >= part * union on the full sets."""
-    key = classes.select("cid", "h1", "h2", "n")
-    sides = pairs.join(key.select(F.col("cid").alias("src"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("n").alias("na")), "src")
-    sides = sides.join(key.select(F.col("cid").alias("dst"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("n").alias("nb")), "dst")
-    sides = materialize(sides.where(whole * F.least("na", "nb") >= part * F.greatest("na", "nb")), "pairs")
-    wanted = sides.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(sides.select("b1", "b2")).distinct()
-    sets = shingle_sets(docs, text_col, words, wanted).join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.any_value("items").alias("items"))
-    sets = materialize(sets, "sets")
-    a = sets.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("items").alias("sa"))
-    b = sets.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("items").alias("sb"))
-    both = sides.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).withColumn("common", F.size(F.array_intersect("sa", "sb")))
+def confirm(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
+    """Of ``pairs`` (src, dst) of classes, those with whole * intersection >= part * union on ``sets`` (cid, n, items)."""
+    a = sets.select(F.col("cid").alias("src"), F.col("n").alias("na"), F.col("items").alias("sa"))
+    b = sets.select(F.col("cid").alias("dst"), F.col("n").alias("nb"), F.col("items").alias("sb"))
+    both = pairs.join(a, "src").join(b, "dst").where(whole * F.least("na", "nb") >= part * F.greatest("na", "nb"))
+    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.where(whole * F.col("common") >= part * (F.col("na") + F.col("nb") - F.col("common"))).select("src", "dst")
 
 
-def _block_pairs(least: float):
-    """Pairs (src, dst) with different labels and an estimated similarity of ``least`` or more, of rows sorted by block."""
+def _objects(column: pa.Array) -> np.ndarray:
+    """Each row's list as a sorted array of its own."""
+    out = np.empty(len(column), object)
+    for i, x in enumerate(column):
+        out[i] = np.sort(x.values.to_numpy())
+    return out
 
-    def of(keys, cid, label, sig):
+
+def _block_pairs(least: float, part: int, whole: int, best: bool):
+    """Pairs (src, dst, est) across labels with an estimate of ``least`` or more, of rows sorted by block.
+
+    ``best`` keeps each row's nearest partner only; else pairs are confirmed on the rows' full sets, each in the
+    first band that it shares.  Sizes that rule a link out are not compared.
+    """
+
+    def linked(a, b) -> bool:
+        a, b = (a, b) if len(a) < len(b) else (b, a)
+        at = np.searchsorted(b, a)
+        common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+        return whole * common >= part * (len(a) + len(b) - common)
+
+    def of(keys, cid, label, n, sig, bands, items):
         edge = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
-        found = []
+        found: list[tuple[int, int, float]] = []
         for a, z in zip(edge, np.r_[edge[1:], len(keys)]):
             if z - a < 2 or (label[a:z] == label[a]).all():
                 continue
-            for i in range(a, z - 1):
-                near = np.flatnonzero(label[i + 1 : z] != label[i]) + i + 1
+            for i in range(a, z if best else z - 1):
+                low = a if best else i + 1
+                near = np.flatnonzero((label[low:z] != label[i]) & (whole * n[low:z] >= part * n[i]) & (whole * n[i] >= part * n[low:z])) + low
                 if len(near):
-                    near = near[(sig[near] == sig[i]).mean(1) >= least]
-                    found += [(min(cid[i], cid[j]), max(cid[i], cid[j])) for j in near.tolist()]
-        return pa.RecordBatch.from_arrays([pa.array([int(x[0]) for x in found], pa.int64()), pa.array([int(x[1]) for x in found], pa.int64())], ["src", "dst"])
+                    est = (sig[near] == sig[i]).mean(1)
+                    if best:
+                        k = int(est.argmax())
+                        near, est = near[k : k + 1], est[k : k + 1]
+                    else:
+                        shared = bands[i][(bands[near] == bands[i]).argmax(1)]
+                        keep = (est >= least) & (shared == keys[a, 0])
+                        near, est = near[keep], est[keep]
+                    found += [(min(cid[i], cid[j]), max(cid[i], cid[j]), e) for j, e in zip(near.tolist(), est.tolist()) if e >= least and (best or linked(items[i], items[j]))]
+        return pa.RecordBatch.from_arrays([pa.array([int(x[0]) for x in found], pa.int64()), pa.array([int(x[1]) for x in found], pa.int64()), pa.array([x[2] for x in found], pa.float64())], ["src", "dst", "est"])
 
     def run(batches):
         rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [np.stack([batch.column(k).to_numpy() for k in range(3)], 1), batch.column(3).to_numpy(), batch.column(4).to_numpy(), np.stack([np.frombuffer(x, "<u2") for x in batch.column(5).to_pylist()])]
+            now = [np.stack([batch.column(k).to_numpy() for k in range(3)], 1), *(batch.column(k).to_numpy() for k in (3, 4, 5)), np.stack([np.frombuffer(x, "<u2") for x in batch.column(6).to_pylist()])]
+            now.append(np.zeros(len(now[1])) if best else np.array(batch.column(7).to_pylist(), np.int64))
+            now.append(np.zeros(len(now[1])) if best else _objects(batch.column(8)))
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now)]
             cut = np.flatnonzero((now[0] == now[0][-1]).all(1))[0]
@@ -182,33 +208,49 @@ def _block_pairs(least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, part: int = 80, whole: int = 100, permutations: int = 48, rows: int = 4, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, part: int = 80, whole: int = 100, permutations: int = 48, rows: int = 4, block: int = 512, rounds: int = 6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row a document; see the module for the method and edge cases."""
     rowsets = materialize(sketch(docs, id_col, text_col, shingle_words, permutations, rows), "sketch")
     classes = materialize(rowsets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("low_id")), "classes")
     first = rowsets.where("bands is not null").join(classes.select("cid", F.col("cid").alias("rid")), "rid", "left_semi")
     banded = materialize(first.select(F.col("rid").alias("cid"), F.explode("bands").alias("band")), "bands")
-    shared = banded.groupBy("band").agg(F.min("cid").alias("center"), F.count("*").alias("m")).where("m > 1")
-    shared = materialize(shared, "buckets")
+    shared = materialize(banded.groupBy("band").agg(F.min("cid").alias("center"), F.count("*").alias("m")).where("m > 1"), "buckets")
     members = materialize(banded.join(shared, "band"), "members")
+    discard(banded)
+    paired = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "h1", "h2", "n")
+    items = shingle_sets(docs, text_col, shingle_words, paired).groupBy("h1", "h2").agg(F.any_value("items").alias("items"))
+    sets = materialize(items.join(paired, ["h1", "h2"]).select("cid", "n", "items"), "sets")
+    sketches = materialize(first.select(F.col("rid").alias("cid"), "n", "sig", "bands").join(sets.select("cid"), "cid", "left_semi"), "sigs")
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    slack = 5 * ((part / whole) * (1 - part / whole) / (2 * permutations)) ** 0.5
+
+    def across(label: DataFrame, best: bool) -> DataFrame:
+        """Pairs of members of one bucket with different labels, from blocks of a bucket's rows."""
+        labelled = members.select("band", "cid", "m").join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+        open_ = labelled.join(mixed, "band", "left_semi").join(sketches, "cid").withColumn("nb", F.ceil(F.col("m") / block).cast("long"))
+        dealt = open_.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+        if not best:
+            dealt = dealt.join(sets.select("cid", "items"), "cid")
+        dealt = dealt.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "cid", "label", "n", "sig", *([] if best else ["bands", "items"]))
+        dealt = dealt.repartition(spread, "band", "i", "j").sortWithinPartitions("band", "i", "j", "cid")
+        return dealt.mapInArrow(_block_pairs(part / whole - slack, part, whole, best), "src long, dst long, est double")
 
     votes = members.where("cid <> center").groupBy("cid", "center").agg(F.count("*").alias("k"))
-    best = votes.groupBy("cid").agg(F.max_by("center", F.struct("k", -F.col("center"))).alias("dst"))
-    links = materialize(confirm(docs, text_col, shingle_words, best.select(F.col("cid").alias("src"), "dst"), classes, part, whole), "links")
+    tested = materialize(votes.groupBy("cid").agg(F.max_by("center", F.struct("k", -F.col("center"))).alias("dst")).select(F.col("dst").alias("src"), F.col("cid").alias("dst")), "tested")
+    links = materialize(confirm(tested, sets, part, whole), "links")
     label = components(links)
-
-    labelled = members.select("band", "cid", "m").join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    open_ = labelled.join(mixed, "band", "left_semi").join(first.select(F.col("rid").alias("cid"), "sig"), "cid")
-    open_ = open_.withColumn("nb", F.ceil(F.col("m") / block).cast("long")).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("nb")))
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    dealt = dealt.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "cid", "label", "sig")
-    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = dealt.repartition(spread, "band", "i", "j").sortWithinPartitions("band", "i", "j", "cid")
-    slack = 5 * ((part / whole) * (1 - part / whole) / (2 * permutations)) ** 0.5
-    pairs = dealt.mapInArrow(_block_pairs(part / whole - slack), "src long, dst long").distinct()
-    more = confirm(docs, text_col, shingle_words, materialize(pairs, "more"), classes, part, whole)
-    label = components(links.union(more))
+    for _ in range(rounds):
+        near = across(label, True)
+        near = near.groupBy("src").agg(F.max_by("dst", "est").alias("dst")).union(near.groupBy("dst").agg(F.max_by("src", "est").alias("src")).select("src", "dst"))
+        new = materialize(near.distinct().join(tested, ["src", "dst"], "left_anti"), "tested")
+        more = materialize(confirm(new, sets, part, whole), "links")
+        tested = tested.union(new)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        label = components(links)
+    label = components(links.union(materialize(across(label, False).select("src", "dst"), "links")))
 
     known = classes.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     smallest = known.groupBy("label").agg(F.min("low_id").alias("component_id"))
