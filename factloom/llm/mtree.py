@@ -37,7 +37,7 @@ MAX_PIVOTS = 4096
 CELL = 1024
 SUBTREE = 8192
 QUERIES = 2048
-PAGE = 64
+PAGE = 256
 FAN = 16
 
 
@@ -80,7 +80,7 @@ class Tree:
 
     def _build(self, idx: np.ndarray, center: np.ndarray, depth: int) -> dict:
         d = np.sqrt(((self.x[idx] - center) ** 2).sum(1))
-        node = {"center": center, "radius": float(d.max(initial=0))}
+        node = {"center": center, "radius": float(d.max(initial=0)) + 1e-9}
         if len(idx) <= PAGE or depth > 40:
             return node | {"idx": idx, "parent": d}
         picks = [int(d.argmax())]
@@ -93,45 +93,60 @@ class Tree:
         children = [self._build(idx[own == k], pivots[k], depth + 1) for k in range(len(pivots)) if (own == k).any()]
         return node | {"children": children, "centers": np.stack([c["center"] for c in children]), "radii": np.array([c["radius"] for c in children]), "parent": np.sqrt(((np.stack([c["center"] for c in children]) - center) ** 2).sum(1))}
 
-    def search(self, q: np.ndarray, qv: np.ndarray, own: int, k: int, far: float, floor_: float) -> list[tuple[int, int]]:
-        """The best (-score, id) among entries whose score is ``floor_`` or more; far = |q|^2 + M^2."""
-        best: list[tuple[int, int]] = []
-        slack = 1e-6 * max(1.0, math.sqrt(far))
-
-        def reach() -> float:
-            low = max(floor_, -best[k - 1][0] if len(best) >= k else -np.inf)
-            return np.inf if low == -np.inf else math.sqrt(max(0.0, far - 2 * low)) + slack
-
-        d0 = float(np.sqrt(((q - self.root["center"]) ** 2).sum()))
-        heap, serial, bound = [(max(0.0, d0 - self.root["radius"]), 0, d0, self.root)], 0, reach()
+    def search(self, queries: np.ndarray, own: list[int], k: int, top: float, floor_: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each query the best (-score, id) among entries whose score is its ``floor_`` or more.
+
+        Best-first over the pages: the page that some query can reach nearest is next, and is searched for all
+        queries whose own bound still admits it.
+        """
+        q = np.hstack([queries, np.zeros((len(queries), 1))])
+        size = (q * q).sum(1)
+        far = size + top  # |q - x|^2 = far - 2 <q, x> for every entry x
+        slack = 1e-6 * np.maximum(1.0, np.sqrt(far))
+        low = floor_.astype(float).copy()
+        bound = np.where(low > -np.inf, np.sqrt(np.maximum(0.0, far - 2 * np.where(low > -np.inf, low, 0))) + slack, np.inf)
+        best: list[list[tuple[int, int]]] = [[] for _ in own]
+        d = np.sqrt(((q - self.root["center"]) ** 2).sum(1))
+        heap, serial = [(0.0, 0, self.root, np.arange(len(own)), d)], 0
         while heap:
-            least, _, d, node = heapq.heappop(heap)
-            if least > bound:
-                break
-            near = np.abs(d - node["parent"])  # no distance is computed for entries that this rules out
+            _, _, node, at, d = heapq.heappop(heap)
+            open_ = d - node["radius"] <= bound[at]
+            at, d = at[open_], d[open_]
+            if not len(at):
+                continue
+            near = np.abs(d[:, None] - node["parent"][None])  # rules entries out before any distance is computed
             if "idx" in node:
-                at = node["idx"][near <= bound]
-                if not len(at):
+                near = near <= bound[at][:, None]
+                some = np.flatnonzero(near.any(0))
+                if not len(some):
                     continue
-                self.computed += len(at)
-                score = self.v[at] @ qv
-                low = max(floor_, -best[k - 1][0] if len(best) >= k else -np.inf)
-                for i in np.flatnonzero(score >= low).tolist():
-                    best += [(-int(score[i]), x) for x in self.ids[at[i]] if x != own]
-                best.sort()
-                del best[k:]
-                bound = reach()
+                near = near[:, some]
+                self.computed += int(near.sum())
+                entry = node["idx"][some]
+                score = queries[at] @ self.v[entry].T
+                near &= score >= low[at][:, None]
+                for i in np.flatnonzero(near.any(1)).tolist():
+                    j, found = at[i], np.flatnonzero(near[i])
+                    if len(found) > k + 1:  # one entry may be the query's own
+                        found = found[score[i, found] >= np.partition(score[i, found], -k - 1)[-k - 1]]
+                    mine = best[j]
+                    mine += [(-int(score[i, e]), x) for e in found.tolist() for x in self.ids[entry[e]] if x != own[j]]
+                    mine.sort()
+                    del mine[k:]
+                    if len(mine) == k and -mine[-1][0] > low[j]:
+                        low[j] = -mine[-1][0]
+                        bound[j] = math.sqrt(max(0.0, far[j] - 2 * low[j])) + slack[j]
             else:
-                at = np.flatnonzero(near - node["radii"] <= bound)
-                if not len(at):
-                    continue
-                self.computed += len(at)
-                dist = np.sqrt(((node["centers"][at] - q) ** 2).sum(1))
-                for i, x in zip(at.tolist(), dist.tolist()):
-                    low = max(0.0, x - node["radii"][i])
-                    if low <= bound:
-                        serial += 1
-                        heapq.heappush(heap, (low, serial, x, node["children"][i]))
+                near = near - node["radii"][None] <= bound[at][:, None]
+                centers = node["centers"]
+                self.computed += int(near.sum())
+                dist = np.sqrt(np.maximum(0.0, size[at][:, None] + (centers * centers).sum(1)[None] - 2 * q[at] @ centers.T))
+                least = np.maximum(0.0, dist - node["radii"][None])
+                near &= least <= bound[at][:, None]
+                for c in np.flatnonzero(near.any(0)).tolist():
+                    serial += 1
+                    rows = near[:, c]
+                    heapq.heappush(heap, (float(least[rows, c].min()), serial, node["children"][c], at[rows], dist[rows, c]))
         return best
 
 
@@ -146,8 +161,9 @@ def _searcher(width: int, top: float, k: int):
             x = np.hstack([v, np.sqrt(np.maximum(0.0, top - (v * v).sum(1)))[:, None]])
             tree = Tree(x, v, members.column("ids").to_pylist())
             qv = _matrix(queries.column("v"), width)
-            for id_, vec, low in zip(queries.column("vec_id").to_pylist(), qv, queries.column("low").to_pylist()):
-                found = tree.search(np.append(vec, 0.0), vec, id_, k, float(vec @ vec) + top, -np.inf if low is None else low)
+            own = queries.column("vec_id").to_pylist()
+            low = np.array([-np.inf if x is None else x for x in queries.column("low").to_pylist()])
+            for id_, found in zip(own, tree.search(qv, own, k, top, low)):
                 out += [(id_, i, -s) for s, i in found]
         cols = list(zip(*out)) or [()] * 3
         return pa.table([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])

@@ -397,7 +397,7 @@ def test_tree_skips_distances():
     top = float((v * v).sum(1).max())
     x = np.hstack([v, np.sqrt(top - (v * v).sum(1))[:, None]])
     tree = mtree.Tree(x, v, [[i] for i in range(len(v))])
-    found = tree.search(np.append(v[7], 0.0), v[7], 7, 10, float(v[7] @ v[7]) + top, -np.inf)
+    found = tree.search(v[7:8], [7], 10, top, np.array([-np.inf]))[0]
     assert found == sorted((-int(v[i] @ v[7]), i) for i in range(len(v)) if i != 7)[:10]
     assert tree.computed < len(v) / 2
 
