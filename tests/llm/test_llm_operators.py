@@ -453,3 +453,28 @@ def test_long_text_scores_as_short():
     keys, targets, _ = lm_scoring.windows(ids, np.array([len(ids)]))
     plain = sum(m.log_probs(keys[i : i + 256], targets[i : i + 256], m.tables()).sum(dtype=float) for i in range(0, len(keys), 256)) / np.log(10)
     assert abs(whole - plain) < 1e-3 * abs(plain)
+
+
+def test_lm_score_learns_from_all_training_texts(spark):
+    rnd, words = random.Random(7), ["apple", "river", "stone", "cloud"]
+    ordered = [" ".join(words * 20) for _ in range(300)]
+    shuffled = [" ".join(rnd.sample(words * 20, 80)) for _ in range(300)]  # the same words, so the same id counts
+    found = []
+    for texts in (ordered, shuffled):
+        rows = spark.createDataFrame([(0, " ".join(words * 20)), *((i + 1, t) for i, t in enumerate(texts))], "doc_id long, text string")
+        got = lm_scoring.score_texts(rows, F.col("doc_id") == 0, sample_texts=1, steps=1, batch=1).where("doc_id = 0").first()
+        found.append(got.score)
+    assert found[0] > found[1] + 10
+
+
+def test_pair_mixture_is_a_distribution():
+    from factloom.llm.attention import IDS, AttentionModel
+
+    rnd = np.random.default_rng(1)
+    m = AttentionModel(np.ones(IDS))
+    pairs = np.unique(rnd.integers(0, IDS * IDS, 5000))
+    keep, pair = lm_scoring.PairMixture(pairs, rnd.integers(1, 50, len(pairs)), rnd.integers(0, 9, IDS)).tables()
+    assert np.abs(keep + pair.reshape(IDS, IDS).sum(1) - 1).max() < 1e-4
+    keys, targets, _ = lm_scoring.windows(rnd.integers(1, IDS, 40), np.array([40]))
+    got = lm_scoring.mixed_log_probs(m, keys, targets, m.tables(), (keep, pair))
+    assert (got[targets < 0] == 0).all() and (got[targets >= 0] < 0).all()
