@@ -34,16 +34,24 @@ INSULTS = ["bastard", "clown", "disgusting", "filth", "idiot", "imbecile", "lose
 REPORTING = ["called", "calls", "cited", "claimed", "quote", "quoted", "quotes", "said", "says", "wrote"]
 QUOTES = "\"“”„«»‘"
 
-WORD = re.compile(r"[^\W\d_]{3,}")
-TOKEN = re.compile(rf"[^\W\d_]+|[{QUOTES}]")
+# A word begins and ends with a letter; digits and underscores inside stay in it. Its parts are its runs of letters.
+WORD = re.compile(r"[^\W\d_](?:\w*[^\W\d_])?")
+PART = re.compile(r"[^\W\d_]{3,}")
+TOKEN = re.compile(rf"{WORD.pattern}|[{QUOTES}]")
 WINDOW = 6
 STEMS = (4, 5, 6)
 PRIOR = np.array([-3.0, 4.0, 1.0, 0.7, 0.2])
 
 
 def edits(term: str, stem: bool) -> int:
-    """Edits allowed in a term of this length; short terms and stems must match exactly."""
-    return 0 if stem or len(term) < 5 else 1 if len(term) < 9 else 2
+    """Edits allowed in a term of this length; terms under 4 letters and stems must match exactly."""
+    return 0 if stem or len(term) < 4 else 1 if len(term) < 9 else 2
+
+
+def spellings(text: str) -> set[str]:
+    """The words of a text and, of words with digits or underscores inside, their parts too; 3 letters at least."""
+    words = {w for w in WORD.findall(text) if len(w) > 2}
+    return words | {p for w in words if not w.isalpha() for p in PART.findall(w)}
 
 
 class Automaton:
@@ -138,13 +146,20 @@ class ToxicityModel:
     def __getstate__(self):
         return {"terms": self.terms, "weights": self.weights, "automaton": None}
 
+    def hits(self, word: str) -> list[int]:
+        """Edits of each hit of a word: of the whole, else of its parts."""
+        match = self.automaton.match
+        if len(word) > 2 and (whole := match(word)) >= 0:
+            return [whole]
+        return [] if word.isalpha() else [e for p in PART.findall(word) if (e := match(p)) >= 0]
+
     def features(self, text: str) -> tuple[int, ...]:
         """(hits unquoted and quoted, misspelled hits unquoted and quoted) of a text."""
         if self.automaton is None:
             self.automaton = Automaton(self.terms)
-        match, out = self.automaton.match, [0, 0, 0, 0]
+        out = [0, 0, 0, 0]
         for piece in pieces(text.lower()):
-            hits = {w for w in set(WORD.findall(piece)) if match(w) >= 0}
+            hits = {w: found for w in set(WORD.findall(piece)) if (found := self.hits(w))}
             if not hits:
                 continue
             tokens = TOKEN.findall(piece)
@@ -153,7 +168,8 @@ class ToxicityModel:
                     near = tokens[max(0, at - WINDOW) : at + WINDOW + 1]
                     before, after = tokens[max(0, at - WINDOW) : at], tokens[at + 1 : at + WINDOW + 1]
                     quoted = any(x in QUOTES for x in before) and any(x in QUOTES for x in after) or any(x in REPORTING for x in near)
-                    out[2 * (match(w) > 0) + quoted] += 1
+                    for e in hits[w]:
+                        out[2 * (e > 0) + quoted] += 1
         return tuple(out)
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -171,7 +187,7 @@ def learn_terms(sample: DataFrame, sample_rows: int, max_terms: int = 2_000) ->
         clean, rows = Counter(), []
         for batch in batches:
             for id_, text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = {w for p in pieces(text.lower()) for w in WORD.findall(p)}
+                words = {w for p in pieces(text.lower()) for w in spellings(p)}
                 terms = {w + "$" for w in words} | {w[:k] for w in words for k in STEMS if len(w) > k}
                 if y > 0:
                     rows += [(t, id_) for t in terms]
@@ -203,7 +219,9 @@ def learn_terms(sample: DataFrame, sample_rows: int, max_terms: int = 2_000) ->
         if not took:
             break
     firm = [t for t in sets if t.endswith("$") and len(sets[t]) >= max(least, 0.02 * n)]
-    return sorted({(t.rstrip("$"), not t.endswith("$")) for t in [*chosen, *firm]})
+    stems = {t for t in chosen if not t.endswith("$")}
+    whole = [t for t in sets if t.endswith("$") and any(t[:k] in stems for k in STEMS)]  # beside their stems: stems match without edits
+    return sorted({(t.rstrip("$"), not t.endswith("$")) for t in [*chosen, *firm, *whole]})
 
 
 def _term_rows(clean: Counter, rows: list) -> pa.RecordBatch:

@@ -174,6 +174,20 @@ def test_quotation_is_not_abuse():
     assert model.features("you worthles clwn")[2] == 2
 
 
+def test_misspelled_and_split_words_are_hits(spark):
+    model = toxicity.ToxicityModel([(t, False) for t in toxicity.INSULTS])
+    assert model.features("skum") == (0, 0, 1, 0) and model.features("scum") == (1, 0, 0, 0)
+    assert all(model.features(w) == (0, 0, 1, 0) for w in ("id1ot", "m0ron", "st_upid"))
+    assert model.features("you_stupid_idiot 7") == (2, 0, 0, 0)  # parts of a word that is no hit itself
+
+
+def test_whole_words_stay_beside_stems(spark):
+    rows = [(i, f"filler{i % 7} glorbnak" + ("s" if i % 2 else ""), 1) for i in range(40)] + [(100 + i, f"filler{i % 7} other", 0) for i in range(400)]
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "id long, text string, y int"), 1000)
+    assert ("glor", True) in terms and ("glorbnak", False) in terms
+    assert toxicity.ToxicityModel(terms).features("gl0rbnak gxorbnak") [2] == 2
+
+
 # --- packing ----------------------------------------------------------------
 
 
