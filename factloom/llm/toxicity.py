@@ -2,8 +2,9 @@
 
 The lexicon is a list of general insults and the terms learned from labels:
 whole words and stems (a stem matches any ending) that occur in toxic
-documents of the sample and next to never in others, chosen greedily until
-another term explains too few further toxic documents.  The trie and the
+documents of the sample and next to never in others, more often than chance
+explains (one significance test for every size of the sample), chosen greedily
+until another term explains too few further toxic documents.  The trie and the
 automata of all terms form one automaton, determinised as texts are read, so
 a word is dropped at the first letter that no term can still reach.
 
@@ -40,6 +41,7 @@ PART = re.compile(r"[^\W\d_]{3,}")
 TOKEN = re.compile(rf"{WORD.pattern}|[{QUOTES}]")
 WINDOW = 6
 STEMS = (4, 5, 6)
+FALSE_SHARE = 0.05
 PRIOR = np.array([-3.0, 4.0, 1.0, 0.7, 0.2])
 
 
@@ -180,6 +182,25 @@ def _texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def chance(toxic, clean, share: float):
+    """Log of a bound (Chernoff) on the probability that a term of so many documents has so many toxic ones by chance."""
+    whole = toxic + clean
+    q = toxic / whole
+    spread = q * F.log(q / share) + F.when(clean > 0, (1 - q) * F.log((1 - q) / (1 - share))).otherwise(0.0)
+    return F.when(q > share, -whole * spread).otherwise(0.0)
+
+
+def accepted(terms: DataFrame) -> float:
+    """The largest ``p`` that holds false discoveries under ``FALSE_SHARE`` (Benjamini-Hochberg) over all ``terms``."""
+    n = terms.count()
+    level, k = -np.inf, 0
+    for r in terms.where(F.col("p") <= np.log(FALSE_SHARE)).groupBy("p").count().orderBy("p").collect():  # a row for each pair of document counts
+        k += r["count"]
+        if r["p"] <= np.log(FALSE_SHARE * k / n):
+            level = r["p"]
+    return float(level)
+
+
 def learn_terms(sample: DataFrame, sample_rows: int, max_terms: int = 2_000) -> list[tuple[str, bool]]:
     """Words and stems of toxic documents; ``sample`` (id, text, y) has a bounded number of rows."""
 
@@ -199,11 +220,15 @@ def learn_terms(sample: DataFrame, sample_rows: int, max_terms: int = 2_000) ->
         yield _term_rows(clean, rows)
 
     found = sample.mapInArrow(count, "term string, id long, clean long")
-    n = sample.agg(F.sum("y")).first()[0] or 0
-    least = 5 if n >= 200 else 2
-    terms = found.groupBy("term").agg(F.collect_list("id").alias("ids"), F.sum("clean").alias("clean"))
-    terms = terms.where(F.size("ids") >= least).where(F.col("clean") <= 0.03 * F.size("ids")).orderBy(F.size("ids").desc(), F.length("term"), "term").limit(20 * max_terms)
+    n, rows = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
+    if not 0 < n < rows:
+        return []
+    terms = found.groupBy("term").agg(F.collect_list("id").alias("ids"), F.sum("clean").alias("clean")).where(F.size("ids") > 0)
+    terms = materialize(terms.withColumn("p", chance(F.size("ids"), F.col("clean"), n / rows)), "terms")
+    level = accepted(terms)
+    terms = terms.where(F.col("p") <= level).where(F.col("clean") <= 0.03 * F.size("ids")).orderBy(F.size("ids").desc(), F.length("term"), "term").limit(20 * max_terms)
     sets = {r["term"]: set(r["ids"]) for r in terms.collect()}
+    least = 2  # further toxic documents that a chosen term explains
     open_, chosen = set().union(*sets.values()) if sets else set(), []
     order = sorted(sets, key=lambda t: (-len(sets[t]), len(t), t))
     while order and len(chosen) < max_terms:
@@ -218,7 +243,7 @@ def learn_terms(sample: DataFrame, sample_rows: int, max_terms: int = 2_000) ->
         order = [t for g, t in gains if g >= least and t not in chosen]
         if not took:
             break
-    firm = [t for t in sets if t.endswith("$") and len(sets[t]) >= max(least, 0.02 * n)]
+    firm = [t for t in sets if t.endswith("$") and len(sets[t]) >= 0.02 * n]
     stems = {t for t in chosen if not t.endswith("$")}
     whole = [t for t in sets if t.endswith("$") and any(t[:k] in stems for k in STEMS)]  # beside their stems: stems match without edits
     return sorted({(t.rstrip("$"), not t.endswith("$")) for t in [*chosen, *firm, *whole]})

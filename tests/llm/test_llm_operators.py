@@ -188,6 +188,21 @@ def test_whole_words_stay_beside_stems(spark):
     assert toxicity.ToxicityModel(terms).features("gl0rbnak gxorbnak") [2] == 2
 
 
+@pytest.mark.parametrize("n", [199, 201])
+def test_one_rule_for_terms_at_every_size(spark, n):
+    # one document in two is toxic: 'chance' words of two toxic documents prove nothing, a word of 30 does
+    rows = [(i, f"chanceword{chr(97 + i // 2 % 26)}{chr(97 + i // 52)}" + (" realterm" if i < 30 else ""), 1) for i in range(n)] + [(1000 + i, "plain", 0) for i in range(n)]
+    words = {t for t, stem in toxicity.learn_terms(spark.createDataFrame(rows, "id long, text string, y int"), 1000) if not stem}
+    assert "realterm" in words and not [w for w in words if w.startswith("chanceword")]
+
+
+def test_rare_significant_terms_are_learned_from_many_labels(spark):
+    # 250 toxic rows; a word of four of them, and of none of 20,000 others
+    rows = [(i, "commonterm" + (" quixterm" if i < 4 else ""), 1) for i in range(250)] + [(1000 + i, "plain", 0) for i in range(20_000)]
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "id long, text string, y int").withColumn("text", F.when(F.col("id") < 4, "quixterm").otherwise(F.col("text"))), 30_000)
+    assert any(t == "quixterm" or stem and "quixterm".startswith(t) for t, stem in terms)
+
+
 # --- packing ----------------------------------------------------------------
 
 
