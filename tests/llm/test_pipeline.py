@@ -41,3 +41,19 @@ def test_run_and_empty_table(spark, tmp_path):
 
 def test_stage_names():
     assert len(cp.STAGES) == 5 and not [n for n, k in Counter(n for n, _ in cp.STAGES).items() if k > 1]
+
+
+def test_rows_without_or_sharing_ids_are_documents(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(0), "a"), (None, text(0), "b"), (None, text(1), "a"), (7, text(2), "a"), (7, text(3), "a"), (8, text(3) + " tail", "a"), (9, text(4), None), (9, text(4), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = sorted(map(tuple, cp.near_dedup(spark, docs, DIR).collect()), key=repr)
+    first = [r for r in out if r[1] == text(0)]
+    assert len(first) == 1 and first[0] in rows[:2]
+    assert sorted([r for r in out if r[1] != text(0)], key=repr) == sorted([rows[2], rows[3], rows[4], rows[6]], key=repr)
+
+
+def test_mixing_takes_rows_without_or_sharing_ids(spark):
+    rows = [(None if i % 2 else 5, f"only{i} " * 50, "a") for i in range(6)] + [(3, "same words " * 25, "a")] * 2  # one source: each document is taken once
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert Counter(map(tuple, cp.mixing(spark, docs, DIR).collect())) == Counter(rows)
