@@ -382,13 +382,32 @@ def dataflow_constants(t):
 
 @query()
 def dataflow_fold(t):
-    """Branch-aware dataflow of a unit per user: a purchase opens a branch, all else are assignments."""
+    """Branch-aware dataflow of a unit per user: a purchase opens a conditional on its symbol, whose one branch holds
+    the user's events up to the next purchase; all else are assignments.
+
+    An event's node is 2 * its position; a branch's node is one above its purchase's.
+    """
+    return dataflow.fold(*branch_statements(stream(t)))
+
+
+def branch_statements(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(statements, inputs) for ``dataflow.fold`` from events (user_id, ts, event_id, kind, symbol)."""
     from pyspark.sql import Window
 
-    s = stream(t).withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("ts")).cast("int"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    s = s.withColumn("node_id", (2 * F.row_number().over(w)).cast("int"))
+    opens = F.col("kind") == "purchase"
+    s = s.withColumn("branch", F.max(F.when(opens, F.col("node_id") + 1)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    unit, none = F.col("user_id").cast("string").alias("unit"), F.array().cast("array<string>")
     name = F.concat(F.lit("v"), F.pmod("symbol", F.lit(7)))
-    st = s.select(F.col("user_id").cast("string").alias("unit"), F.col("pos").alias("node_id"), F.lit(None).cast("int").alias("parent_id"), "pos", F.lit("assign").alias("kind"), name.alias("lhs"), F.array(F.concat(F.lit("v"), F.pmod("event_id", F.lit(7)))).alias("rhs"), F.array().cast("array<string>").alias("cond"), F.lit(None).cast("string").alias("loop_var"))
-    return dataflow.fold(st, st.select("unit", F.lit("v0").alias("name")).distinct())
+    no_loop = F.lit(None).cast("string").alias("loop_var")
+    events = s.select(
+        unit, "node_id", F.when(~opens, F.col("branch")).alias("parent_id"), F.col("node_id").alias("pos"), F.when(opens, "if").otherwise("assign").alias("kind"),
+        F.when(~opens, name).alias("lhs"), F.when(~opens, F.array(F.concat(F.lit("v"), F.pmod("event_id", F.lit(7))))).otherwise(none).alias("rhs"), F.when(opens, F.array(name)).otherwise(none).alias("cond"), no_loop,
+    )
+    node = F.col("node_id") + 1
+    branches = s.where(opens).select(unit, node.alias("node_id"), F.col("node_id").alias("parent_id"), node.alias("pos"), F.lit("branch").alias("kind"), F.lit(None).cast("string").alias("lhs"), none.alias("rhs"), none.alias("cond"), no_loop)
+    return events.union(branches), events.select("unit", F.lit("v0").alias("name")).distinct()
 
 
 # --- functions --------------------------------------------------------------
