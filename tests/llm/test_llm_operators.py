@@ -191,9 +191,9 @@ def test_whole_words_stay_beside_stems(spark):
 @pytest.mark.parametrize("n", [199, 201])
 def test_one_rule_for_terms_at_every_size(spark, n):
     # one document in two is toxic: 'chance' words of two toxic documents prove nothing, a word of 30 does
-    rows = [(i, f"chanceword{chr(97 + i // 2 % 26)}{chr(97 + i // 52)}" + (" realterm" if i < 30 else ""), 1) for i in range(n)] + [(1000 + i, "plain", 0) for i in range(n)]
-    words = {t for t, stem in toxicity.learn_terms(spark.createDataFrame(rows, "id long, text string, y int"), 1000) if not stem}
-    assert "realterm" in words and not [w for w in words if w.startswith("chanceword")]
+    rows = [(i, f"{chr(97 + i // 2 % 26)}{chr(97 + i // 52)}qzchance" + (" realterm" if i < 30 else ""), 1) for i in range(n)] + [(1000 + i, "plain", 0) for i in range(n)]
+    terms = {t for t, _ in toxicity.learn_terms(spark.createDataFrame(rows, "id long, text string, y int"), 1000)}
+    assert "realterm" in terms and all("realterm".startswith(t) for t in terms)
 
 
 def test_rare_significant_terms_are_learned_from_many_labels(spark):
