@@ -3,22 +3,29 @@
 Each permutation of a document's shingle hashes yields its minimum and its
 maximum, so ``permutations`` evaluations give twice as many signature values.
 Bands of ``rows`` values retrieve candidates; every link is confirmed on the
-full shingle sets.  At a similarity of 0.8, 24 bands of 4 values miss a pair
-with probability (1 - 0.8^4)^24 < 4e-6.
+full shingle sets.  At a similarity of 0.8, 24 bands of 4 independent values
+miss a pair with probability (1 - 0.8^4)^24 < 4e-6.  A permutation's minimum
+and maximum are not independent in small sets: measured with these signatures,
+the rate is 2.2e-5 for a union of 5 shingles, 7.7e-6 for 10 and 5.7e-6 for 20.
 
 Order of work, so that large groups stay linear:
 
 1.  Documents with the same shingle set form a class (128-bit set hash).
 2.  Each class proposes one link, to the smallest member of the band buckets
     it shares most often; confirmed links give first components.
-3.  In buckets that still hold several components, each row proposes the member
-    of another component whose signature is nearest; confirmed links join
-    components, and this is repeated while it finds links (``rounds`` at most).
-4.  Members of buckets that are still mixed are compared across components,
-    in blocks of ``block`` rows that carry their full sets; a pair whose
-    signature estimate is within five standard deviations of the threshold is
-    confirmed where it is met, in the first band it shares, and only links
-    leave the block.  Pairs within one component are never formed.
+3.  Buckets whose members all lie in one component are done.  In the others
+    the members' full sets meet in one block, where one pass over the block
+    counts the shingles that a row shares with every row of other components.
+    A link joins the two components in the block at once, so pairs within one
+    component are not compared and a block emits fewer links than it has
+    components, however many pairs it holds.
+4.  A bucket of more than ``block`` shingles whose largest component leaves no
+    more than ``block`` to the others is dealt over blocks: each row of the
+    largest component to one, the few other rows to all.
+5.  Any other large bucket is banded again, on 47 further groups of 4 values of
+    the signature (a pair at 0.8 that is in the bucket misses them all with a
+    probability below 1e-5).  What is still too large is compared in a grid of
+    blocks, each pair of parts once: an exact way for the rest, with no cap.
 
 Nulls: a null text counts as empty; empty documents are linked with nothing.
 A null id takes part in links, but a component's id is its smallest non-null
@@ -146,115 +153,157 @@ def confirm(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFra
     return both.where(whole * F.col("common") >= part * (F.col("na") + F.col("nb") - F.col("common"))).select("src", "dst")
 
 
-def _objects(column: pa.Array) -> np.ndarray:
-    """Each row's list as a sorted array of its own."""
-    out = np.empty(len(column), object)
-    for i, x in enumerate(column):
-        out[i] = np.sort(x.values.to_numpy())
-    return out
+def _block_links(part: int, whole: int):
+    """Links (src, dst) between labels in each block of rows (band, i, j, side, cid, label, items), sorted by block.
 
-
-def _block_pairs(least: float, part: int, whole: int, best: bool):
-    """Pairs (src, dst, est) across labels with an estimate of ``least`` or more, of rows sorted by block.
-
-    ``best`` keeps each row's nearest partner only; else pairs are confirmed on the rows' full sets, each in the
-    first band that it shares.  Sizes that rule a link out are not compared.
+    Links that the ones before them already imply are left out, so a block emits fewer than it has labels.  In a
+    block with i <> j, rows of one side are not compared: they meet in another block.
     """
 
-    def linked(a, b) -> bool:
-        a, b = (a, b) if len(a) < len(b) else (b, a)
-        at = np.searchsorted(b, a)
-        common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-        return whole * common >= part * (len(a) + len(b) - common)
-
-    def of(keys, cid, label, n, sig, bands, items):
-        edge = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
-        found: list[tuple[int, int, float]] = []
-        for a, z in zip(edge, np.r_[edge[1:], len(keys)]):
-            if z - a < 2 or (label[a:z] == label[a]).all():
+    def of(side, cid, label, edge, flat):
+        size = np.diff(edge)
+        label = label.copy()
+        code = np.unique(flat, return_inverse=True)[1]
+        mark = np.zeros(int(code.max()) + 1 if len(code) else 0, bool)
+        for i in range(len(cid) - 1):
+            rest = size[i + 1 :]
+            near = (label[i + 1 :] != label[i]) & (whole * rest >= part * size[i]) & (whole * size[i] >= part * rest)
+            if side is not None:
+                near &= side[i + 1 :] != side[i]
+            near = np.flatnonzero(near) + i + 1
+            if not len(near):
                 continue
-            for i in range(a, z if best else z - 1):
-                low = a if best else i + 1
-                near = np.flatnonzero((label[low:z] != label[i]) & (whole * n[low:z] >= part * n[i]) & (whole * n[i] >= part * n[low:z])) + low
-                if len(near):
-                    est = (sig[near] == sig[i]).mean(1)
-                    if best:
-                        k = int(est.argmax())
-                        near, est = near[k : k + 1], est[k : k + 1]
-                    else:
-                        shared = bands[i][(bands[near] == bands[i]).argmax(1)]
-                        keep = (est >= least) & (shared == keys[a, 0])
-                        near, est = near[keep], est[keep]
-                    found += [(min(cid[i], cid[j]), max(cid[i], cid[j]), e) for j, e in zip(near.tolist(), est.tolist()) if e >= least and (best or linked(items[i], items[j]))]
-        return pa.RecordBatch.from_arrays([pa.array([int(x[0]) for x in found], pa.int64()), pa.array([int(x[1]) for x in found], pa.int64()), pa.array([x[2] for x in found], pa.float64())], ["src", "dst", "est"])
+            own = code[edge[i] : edge[i + 1]]
+            mark[own] = True
+            n = size[near]
+            begin = np.cumsum(n) - n
+            at = np.arange(int(n.sum())) + np.repeat(edge[near] - begin, n)
+            common = np.add.reduceat(mark[code[at]], begin, dtype=np.int64)
+            mark[own] = False
+            for j in near[whole * common >= part * (n + size[i] - common)].tolist():
+                if label[j] != label[i]:
+                    yield int(cid[i]), int(cid[j])
+                    label[label == label[j]] = label[i]
+
+    def block(rows):
+        keys, side, cid, label, items = ([r[k] for r in rows] for k in range(5))
+        label = np.concatenate(label)
+        if (label == label[0]).all():
+            return
+        cross = keys[0][0, 1] != keys[0][0, 2]
+        size = np.concatenate([np.diff(offsets) for offsets, _ in items])
+        yield from of(np.concatenate(side) if cross else None, np.concatenate(cid), label, np.r_[0, np.cumsum(size)], np.concatenate([values for _, values in items]))
 
     def run(batches):
-        rest = None
+        held, found = [], []
+
+        def links():
+            out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["src", "dst"])
+            found.clear()
+            return out
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [np.stack([batch.column(k).to_numpy() for k in range(3)], 1), *(batch.column(k).to_numpy() for k in (3, 4, 5)), np.stack([np.frombuffer(x, "<u2") for x in batch.column(6).to_pylist()])]
-            now.append(np.zeros(len(now[1])) if best else np.array(batch.column(7).to_pylist(), np.int64))
-            now.append(np.zeros(len(now[1])) if best else _objects(batch.column(8)))
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now)]
-            cut = np.flatnonzero((now[0] == now[0][-1]).all(1))[0]
-            rest = [x[cut:] for x in now]
-            if cut:
-                yield of(*(x[:cut] for x in now))
-        if rest is not None:
-            yield of(*rest)
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)]
+            side, cid, label, items = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), batch.column(6)
+            offsets, values = items.offsets.to_numpy(), items.values.to_numpy()
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                if held and (held[0][0][0] != keys[a]).any():
+                    found += block(held)
+                    held = []
+                held.append((keys[a:z], side[a:z], cid[a:z], label[a:z], (offsets[a : z + 1], values[offsets[a] : offsets[z]])))
+            held[-1] = tuple(x.copy() if k < 4 else (x[0].copy(), x[1].copy()) for k, x in enumerate(held[-1]))
+            if len(found) >= 1 << 16:
+                yield links()
+        if held:
+            found += block(held)
+        yield links()
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, part: int = 80, whole: int = 100, permutations: int = 48, rows: int = 4, block: int = 512, rounds: int = 6) -> DataFrame:
+def _dealt(rows: DataFrame, block: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows with their blocks, the rest) of ``rows`` (band, cid, label, n) in buckets that hold several labels.
+
+    The rest, none if ``last``, are rows of buckets too large for one block and not mostly of one label.
+    """
+    weight = F.sum(F.col("n") + 64)
+    each = rows.groupBy("band", "label").agg(weight.alias("w"))
+    top = F.max_by("label", F.struct("w", "label")).alias("top")
+    bucket = materialize(each.groupBy("band").agg(top, F.max("w").alias("wtop"), F.sum("w").alias("w"), F.count("*").alias("k")).where("k > 1").drop("k"), "mixed")
+    mixed = rows.join(bucket, "band")
+    small, lopsided = F.col("w") <= block, F.col("w") - F.col("wtop") <= block
+    parts = F.ceil(F.col("w") / block).cast("long")
+    mine, none = F.pmod(F.xxhash64("cid"), parts), F.lit(-1).cast("long")
+
+    def at(i, j, side):
+        return F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), side.cast("long").alias("side"))
+
+    zero, every = F.lit(0), F.sequence(F.lit(0).cast("long"), parts - 1)
+    own = F.when(mine == 0, at(zero, zero, zero)).otherwise(at(mine, none, zero))
+    others = F.transform(every, lambda p: F.when(p == 0, at(zero, zero, zero)).otherwise(at(p, none, F.lit(1))))
+    where = F.when(small, F.array(at(zero, zero, zero))).when(lopsided, F.when(F.col("label") == F.col("top"), F.array(own)).otherwise(others))
+    if last:
+        where = where.otherwise(F.transform(every, lambda o: at(F.least(mine, o), F.greatest(mine, o), mine)))
+    out = mixed if last else mixed.where(small | lopsided)
+    out = out.select("band", "cid", "label", F.explode(where).alias("at")).select("band", "at.i", "at.j", "at.side", "cid", "label")
+    return out, mixed.where(~(small | lopsided) & F.lit(not last)).select(*rows.columns)
+
+
+def _banded_again(rows: DataFrame, sketches: DataFrame, permutations: int, width: int) -> DataFrame:
+    """``rows`` (band, pos, cid, label, n) under longer keys: the band and ``width`` further values of the signature."""
+    values, bands = 2 * permutations, 2 * permutations // width
+    next_to = [[g * width + k for k in range(width)] for g in range(bands)]
+    apart = [[g + k * bands for k in range(width)] for g in range(bands)]
+    value = [F.substring("sig", 2 * v + 1, 2) for v in range(values)]
+    keys = [F.when(F.lit(g) != F.col("pos"), F.xxhash64("band", F.lit(g), *[value[v] for v in group])) for g, group in enumerate(next_to + apart)]
+    again = rows.join(sketches.select("cid", "sig"), "cid").select("cid", "label", "n", F.explode(F.array(*keys)).alias("band"))
+    return again.where("band is not null")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, part: int = 80, whole: int = 100, permutations: int = 48, rows: int = 4, block: int = 1 << 21) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row a document; see the module for the method and edge cases."""
     rowsets = materialize(sketch(docs, id_col, text_col, shingle_words, permutations, rows), "sketch")
     classes = materialize(rowsets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("low_id")), "classes")
     first = rowsets.where("bands is not null").join(classes.select("cid", F.col("cid").alias("rid")), "rid", "left_semi")
-    banded = materialize(first.select(F.col("rid").alias("cid"), F.explode("bands").alias("band")), "bands")
-    shared = materialize(banded.groupBy("band").agg(F.min("cid").alias("center"), F.count("*").alias("m")).where("m > 1"), "buckets")
+    banded = materialize(first.select(F.col("rid").alias("cid"), "n", F.posexplode("bands").alias("pos", "band")), "bands")
+    shared = materialize(banded.groupBy("band").agg(F.min("cid").alias("center"), F.count("*").alias("m")).where("m > 1").drop("m"), "buckets")
     members = materialize(banded.join(shared, "band"), "members")
     discard(banded)
+    discard(shared)
     paired = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "h1", "h2", "n")
     items = shingle_sets(docs, text_col, shingle_words, paired).groupBy("h1", "h2").agg(F.any_value("items").alias("items"))
     sets = materialize(items.join(paired, ["h1", "h2"]).select("cid", "n", "items"), "sets")
-    sketches = materialize(first.select(F.col("rid").alias("cid"), "n", "sig", "bands").join(sets.select("cid"), "cid", "left_semi"), "sigs")
-    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    slack = 5 * ((part / whole) * (1 - part / whole) / (2 * permutations)) ** 0.5
-
-    def across(label: DataFrame, best: bool) -> DataFrame:
-        """Pairs of members of one bucket with different labels, from blocks of a bucket's rows."""
-        labelled = members.select("band", "cid", "m").join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-        open_ = labelled.join(mixed, "band", "left_semi").join(sketches, "cid").withColumn("nb", F.ceil(F.col("m") / block).cast("long"))
-        dealt = open_.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-        if not best:
-            dealt = dealt.join(sets.select("cid", "items"), "cid")
-        dealt = dealt.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "cid", "label", "n", "sig", *([] if best else ["bands", "items"]))
-        dealt = dealt.repartition(spread, "band", "i", "j").sortWithinPartitions("band", "i", "j", "cid")
-        return dealt.mapInArrow(_block_pairs(part / whole - slack, part, whole, best), "src long, dst long, est double")
 
     votes = members.where("cid <> center").groupBy("cid", "center").agg(F.count("*").alias("k"))
-    tested = materialize(votes.groupBy("cid").agg(F.max_by("center", F.struct("k", -F.col("center"))).alias("dst")).select(F.col("dst").alias("src"), F.col("cid").alias("dst")), "tested")
-    links = materialize(confirm(tested, sets, part, whole), "links")
-    label = components(links)
-    for _ in range(rounds):
-        near = across(label, True)
-        near = near.groupBy("src").agg(F.max_by("dst", "est").alias("dst")).union(near.groupBy("dst").agg(F.max_by("src", "est").alias("src")).select("src", "dst"))
-        new = materialize(near.distinct().join(tested, ["src", "dst"], "left_anti"), "tested")
-        more = materialize(confirm(new, sets, part, whole), "links")
-        tested = tested.union(new)
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        label = components(links)
-    label = components(links.union(materialize(across(label, False).select("src", "dst"), "links")))
-
-    known = classes.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    smallest = known.groupBy("label").agg(F.min("low_id").alias("component_id"))
-    named = known.join(smallest, "label").select("h1", "h2", "n", "component_id")
+    proposed = votes.groupBy("cid").agg(F.max_by("center", F.struct("k", -F.col("center"))).alias("dst")).select(F.col("dst").alias("src"), F.col("cid").alias("dst"))
+    links = materialize(confirm(proposed, sets, part, whole), "links")
+    label = components(links).withColumnRenamed("node", "cid")
+    labelled = members.select("band", "pos", "cid", "n").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    labelled = materialize(labelled, "labelled")
+    discard(members)
+
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def across(dealt: DataFrame) -> DataFrame:
+        full = dealt.join(sets.select("cid", "items"), "cid").select("band", "i", "j", "side", "cid", "label", "items")
+        full = full.repartition(spread, "band", "i", "j").sortWithinPartitions("band", "i", "j", "cid")
+        return materialize(full.mapInArrow(_block_links(part, whole), "src long, dst long"), "links")
+
+    dealt, rest = _dealt(labelled, block, False)
+    links = links.union(across(dealt))
+    rest = materialize(rest, "rest")
+    if not rest.isEmpty():
+        again = materialize(_banded_again(rest, first.select(F.col("rid").alias("cid"), "sig"), permutations, rows), "again")
+        links = links.union(across(_dealt(again, block, True)[0]))
+    label = components(links).withColumnRenamed("node", "cid")
+
+    joined = materialize(classes.join(label, "cid", "left"), "named")
+    smallest = materialize(joined.where("label is not null").groupBy("label").agg(F.min("low_id").alias("component_id")), "smallest")
+    named = joined.where("label is not null").join(smallest, "label").select("h1", "h2", "n", "component_id")
+    named = named.union(joined.where("label is null").select("h1", "h2", "n", F.col("low_id").alias("component_id")))
     out = rowsets.where("n > 0").select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"]).select("doc_id", "n", "component_id")
     out = out.union(rowsets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
@@ -262,3 +311,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op6_minmax_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=2)
+
+
+#: An exact join of the shingle sets, then the smallest id that links reach.
+ORACLE = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s
+  FROM words
+),
+sized AS (SELECT doc_id, len(s) AS n, s FROM sets),
+shingles AS (SELECT doc_id, n, unnest(s) AS x FROM sized),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v
+  FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM sized
+  UNION
+  SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v
+)
+SELECT z.doc_id, CAST(z.n AS BIGINT) AS n_shingles, min(r.v) AS component_id, min(r.v) = z.doc_id AS kept
+FROM sized z JOIN reach r ON r.u = z.doc_id GROUP BY z.doc_id, z.n
+"""

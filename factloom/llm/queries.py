@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, mtree, sharding
+from . import license_scan, mtree, near_dedup, sharding
 from .license_scan import op4_minhash_license_scan
 from .lm_scoring import op8_attention_lm_scoring
 from .mixing import op10_cube_mixing
@@ -27,4 +27,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_mtree_topk": mtree.ORACLE, "op4_minhash_license_scan": license_scan.oracle(), "op5_extendible_sharding": sharding.oracle()}
+    return {"op1_mtree_topk": mtree.ORACLE, "op4_minhash_license_scan": license_scan.oracle(), "op5_extendible_sharding": sharding.oracle(), "op6_minmax_near_dedup": near_dedup.ORACLE}

@@ -77,22 +77,122 @@ def components_brute(rows, words):
     return sorted(((ids[i], len(sets[i]), low_id.get(label[i]) if sets[i] else ids[i]) for i in range(len(rows))), key=repr)
 
 
-@pytest.mark.parametrize("words", [2, 5])
-def test_near_duplicates_match_brute_force(spark, words):
+@pytest.mark.parametrize("words, block", [(2, 1024), (5, 1 << 21)])
+def test_near_duplicates_match_brute_force(spark, words, block):
     rnd = random.Random(words)
     vocab = [f"v{i}" for i in range(500)]
-    rows = edge_rows()[:-1]
+    rows = edge_rows()
     seed = [rnd.choice(vocab) for _ in range(120)]
     for i in range(60):  # a chain of copies around the threshold
         w = list(seed)
         for _ in range(rnd.randrange(12)):
             w[rnd.randrange(len(w))] = rnd.choice(vocab)
         rows.append((100 + i, " ".join(w), "en", "s", 1, "", "", "", ""))
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle_words=words, block=16).collect()
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle_words=words, block=block).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == components_brute(rows, words)
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_equal_exact_join(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
+    want = con.sql(near_dedup.ORACLE).fetchall()
+    got = near_dedup.op6_minmax_near_dedup(spark, DIR).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def block_rows(rnd, groups, size, apart):
+    """Sets of ``groups`` seeds with ``size`` copies each that differ in ``apart`` of 200 items."""
+    out = []
+    for _ in range(groups):
+        seed = [rnd.getrandbits(62) for _ in range(200)]
+        out += [sorted([rnd.getrandbits(62) for _ in range(apart)] + rnd.sample(seed, 200 - apart)) for _ in range(size)]
+    return out
+
+
+def test_blocks_emit_a_forest_of_all_links():
+    """A hot bucket of rows, none linked so far: as many links as join it, not as many as it has pairs."""
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    sets = block_rows(rnd, 3, 200, 16)
+    n = len(sets)
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * n), pa.array([0] * n), pa.array([0] * n), pa.array([0] * n), pa.array(range(n)), pa.array(range(n)), pa.array(sets, pa.list_(pa.int64()))], ["band", "i", "j", "side", "cid", "label", "items"])
+    out = [x for b in near_dedup._block_links(80, 100)([batch.slice(0, 250), batch.slice(250)]) for x in zip(*b.to_pydict().values())]
+    label, brute = list(range(n)), list(range(n))
+    for a, b in out:
+        label = [label[a] if x == label[b] else x for x in label]
+    as_set = [set(s) for s in sets]
+    for i in range(n):
+        for j in range(i):
+            both = len(as_set[i] & as_set[j])
+            if brute[i] != brute[j] and 100 * both >= 80 * (400 - both):
+                brute = [brute[j] if x == brute[i] else x for x in brute]
+    first = lambda x: [x.index(k) for k in x]
+    assert first(label) == first(brute) and len(out) == n - len(set(brute))
+
+
+@pytest.mark.parametrize("giant", [0, 90])
+def test_large_buckets_are_dealt_whole(spark, giant):
+    """Every pair of labels in a bucket meets in a block: split around one large component, or in a grid."""
+    rows = [(5, k, 1 if k < giant else 100 + k, 10) for k in range(100)]
+    dealt, rest = near_dedup._dealt(spark.createDataFrame(rows, "band long, cid long, label long, n long"), 1024, True)
+    assert rest.isEmpty()
+    blocks = {}
+    for r in dealt.collect():
+        blocks.setdefault((r.i, r.j), []).append(r)
+    met = {frozenset((a.cid, b.cid)) for (i, j), x in blocks.items() for a in x for b in x if a.label != b.label and (i == j or a.side != b.side)}
+    label = {r[1]: r[2] for r in rows}
+    assert met == {frozenset((a, b)) for a in label for b in label if label[a] != label[b]}
+    assert max(map(len, blocks.values())) <= 60
+    if giant:
+        assert sum(map(len, blocks.values())) <= 90 + 10 * 8
+
+
+def test_second_bands_miss_few_pairs():
+    """Of pairs at 0.8 that share a band, the further groups of four values catch all in 20,000 draws."""
+    draw = np.random.default_rng(1)
+    same = draw.random((20_000, 96)) < 0.8
+    same[:, :4] = True
+    caught = np.zeros(len(same), bool)
+    for g in range(24):
+        caught |= (g != 0) & same[:, 4 * g : 4 * g + 4].all(1)
+        caught |= same[:, g::24].all(1)
+    assert caught.all()
+
+
+def test_large_group_of_near_copies_is_linear(spark):
+    """5,000 copies of one text, each with its own words: every table, links included, has at most a row for each of a copy's 24 bands."""
+    rnd = random.Random(8)
+    seed = [f"v{rnd.randrange(4000)}" for _ in range(150)]
+    rows = []
+    for i in range(5000):
+        w = list(seed)
+        for _ in range(rnd.randrange(1, 12)):
+            w[rnd.randrange(150)] = f"own{i}x{rnd.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    seen = {}
+    old = near_dedup.materialize
+
+    def counted(df, name="t"):
+        out = old(df, name)
+        seen.setdefault(name, []).append(out.count())
+        return out
+
+    near_dedup.materialize = counted
+    try:
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=1 << 19).collect()
+    finally:
+        near_dedup.materialize = old
+    assert max(max(v) for v in seen.values()) <= 24 * 5000
+    sets = [{tuple(w[k : k + 5]) for k in range(146)} for w in (t.split() for _, t in rows)]
+    by = {r.doc_id: r.component_id for r in got}
+    for i, j in [(rnd.randrange(5000), rnd.randrange(5000)) for _ in range(4000)]:
+        both = len(sets[i] & sets[j])
+        if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            assert by[i] == by[j]
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
