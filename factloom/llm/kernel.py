@@ -81,8 +81,8 @@ def _words(data: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.ndarra
     return starts, lengths, mix(np.add.reduceat(code, edge) + lengths.astype(np.uint64))
 
 
-def word_hashes(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For slices of a string column: (first row, words in each row, word hashes in order)."""
+def text_words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For slices of a string column: (first row, words in each row, bytes, and each word's start in them, length and hash)."""
     data, offsets = text_bytes(column)
     row, n = 0, len(offsets) - 1
     while row < n:
@@ -91,17 +91,23 @@ def word_hashes(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.
             base = offsets[row]
             part = data[base : offsets[end]]
             cuts = offsets[row : end + 1] - base
-            starts, _, hashes = _words(part, cuts[:-1], lower)
-            counts = np.diff(np.searchsorted(starts, cuts, "left"))
-            yield row, counts, hashes
+            starts, lengths, hashes = _words(part, cuts[:-1], lower)
+            yield row, np.diff(np.searchsorted(starts, cuts, "left")), part, starts, lengths, hashes
             row = end
         else:
-            out = [h for _, _, h in long_text_words(data[offsets[row] : offsets[row + 1]], lower)]
-            hashes = np.concatenate(out) if out else np.zeros(0, np.uint64)
-            yield row, np.array([len(hashes)]), hashes
+            part = data[offsets[row] : offsets[row + 1]]
+            out = list(long_text_words(part, lower)) or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+            starts, lengths, hashes = (np.concatenate(x) for x in zip(*out))
+            yield row, np.array([len(hashes)]), part, starts, lengths, hashes
             row += 1
 
 
+def word_hashes(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For slices of a string column: (first row, words in each row, word hashes in order)."""
+    for row, counts, _, _, _, hashes in text_words(column, lower):
+        yield row, counts, hashes
+
+
 def long_text_words(text: np.ndarray, lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(starts, lengths, hashes) of the words of one text, piece by piece, cut at white space."""
     at = 0

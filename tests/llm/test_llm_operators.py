@@ -560,8 +560,8 @@ def test_attention_gradients_and_probabilities():
 
 
 def test_lm_base_and_edge_rows(spark, edge, empty):
-    rows = [r for r in edge_rows() if r[0] != 60]
-    got = lm_scoring.score_texts(spark.createDataFrame(rows, SCHEMA), fold("doc_id", 5) == 1, steps=5, batch=8).collect()
+    rows = edge_rows()
+    got = lm_scoring.score_texts(edge, fold("doc_id", 5) == 1, steps=5, batch=8).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     tokens = [[*WORD.findall(low(r[1])), "\0end"] for r in rows]
     c = Counter(w for r, t in zip(rows, tokens) if not held(r[0]) for w in t)
@@ -591,11 +591,49 @@ def test_lm_score_learns_from_all_training_texts(spark):
     found = []
     for texts in (ordered, shuffled):
         rows = spark.createDataFrame([(0, " ".join(words * 20)), *((i + 1, t) for i, t in enumerate(texts))], "doc_id long, text string")
-        got = lm_scoring.score_texts(rows, F.col("doc_id") == 0, sample_texts=1, steps=1, batch=1).where("doc_id = 0").first()
+        got = lm_scoring.score_texts(rows, F.col("doc_id") == 0, attention_windows=1, steps=1, batch=1).where("doc_id = 0").first()
         found.append(got.score)
     assert found[0] > found[1] + 10
 
 
+def test_words_are_encoded_once_and_alike():
+    """Ids by the words' table, cleared on the way, equal those of each word on its own; white space beyond ASCII too."""
+    import pyarrow as pa
+    from factloom.llm.kernel import text_words
+
+    rnd = random.Random(6)
+    path = subwords.default_ranks()
+    parts = ["Das", "isn't", "x\u00a0", "\u00a0y", "\u2003", "na\u00efve", "42nd", "...", "\u4e2d\u6587", "supercalifragilistic"]
+    texts = [None, "", " \n"] + [" ".join(rnd.choice(parts) + str(rnd.randrange(40)) * rnd.randrange(2) for _ in range(rnd.randrange(60))) for _ in range(80)]
+    table = lm_scoring.WordIds(path, most=30)
+    vocabulary = lm_scoring.Vocabulary({int(i): 9 for i in range(300, 1500)}, path)
+    for _ in range(3):
+        for row, sizes, raw, starts, lengths, hashes in text_words(pa.array(texts)):
+            bpe, per = table.ids(raw, starts, lengths, *lm_scoring.distinct(hashes))
+            want = [subwords.encode(" " + w, path) for t in texts[row : row + len(sizes)] for w in WORD.findall(low(t))]
+            assert bpe.tolist() == np.concatenate(want).tolist() and per.tolist() == [len(x) for x in want]
+            ids, size = vocabulary.ids(bpe, np.r_[0, np.cumsum(per)][np.cumsum(sizes)])
+            assert size.sum() == len(ids) and (ids[np.cumsum(size) - 1] == 0).all() and (ids == 0).sum() == len(texts)
+            assert size.tolist()[:3] == [1, 1, 1]
+
+
+def test_drawn_windows_follow_the_text(spark):
+    """About the asked number of windows, the same whatever the partitions; far windows of a long text among them."""
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice(["red", "blue", "green"]) for _ in range(200))) for i in range(300)] + [(999, " ".join(f"n{k}" for k in range(20_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = subwords.default_ranks()
+    found = []
+    for parts in (1, 5):
+        table = lm_scoring.encoded(docs.repartition(parts).select("text"), path).cache()
+        sums = {r["k"]: r["n"] for r in table.where("kind = 2").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+        shipped = spark.sparkContext.broadcast(lm_scoring.Vocabulary(sums, path))
+        total = sum(sums.values()) / 32
+        found.append(lm_scoring.sample_windows(table.where("kind = 0").select("ids"), shipped, 0.1))
+        assert 0.07 * total < len(found[-1][0]) < 0.13 * total
+    assert all((a == b).all() for a, b in zip(*found))
+
+
 def test_pair_mixture_is_a_distribution():
     from factloom.llm.attention import IDS, AttentionModel
 
