@@ -12,7 +12,9 @@ group with the least attention work so far.
 Packing is done within the partitions of the input, with no shuffle: a lost
 task is redone whole, and memory is bounded by ``chunk_tokens`` and one text.
 Null and empty texts are documents of the end id alone.  Repeated rows are
-separate documents.  Special strings in a text are ordinary text.
+separate documents.  Strings of the vocabulary's added tokens in a text have
+those tokens' ids, as its tokenizer gives them; with ``added={}`` they are
+ordinary text.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .subwords import default_ranks, encode
+from .subwords import default_added, default_ranks, encode_with_added
 
 TIERS = (256, 512, 1024)
+
+
 class Packer:
     """Packs items (doc_id, start, ids, doc_tokens) of one task into windows."""
 
@@ -67,11 +71,7 @@ class Packer:
             self._window(tier, first)
         if last:
             while self.pool:
-                size = 1 << (min(self.tokens, top).bit_length() - 1)
-                if self.tokens < self.tiers[0]:  # too little for a small tier: one padded window
-                    self._finish(top, [self._take(0) for _ in range(len(self.pool))])
-                else:
-                    self._window(size, None)
+                self._window(1 << (min(self.tokens, top).bit_length() - 1), None)
         self._deal()
 
     def _window(self, size: int, first: tuple | None) -> None:
@@ -117,9 +117,10 @@ class Packer:
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, end_id: int = 0, step_tokens: int = 1 << 16, chunk_tokens: int = 1 << 21, ranks_path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, end_id: int = 0, step_tokens: int = 1 << 16, chunk_tokens: int = 1 << 21, ranks_path: str | None = None, added: dict[str, int] | None = None) -> DataFrame:
     """One row a piece; ``window`` is the sequence's context size, ``step_group`` its training step."""
     path = ranks_path or default_ranks()
+    special = default_added() if added is None and ranks_path is None else added or {}
 
     def run(batches):
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId())
@@ -127,7 +128,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 for doc_id, text in zip(batch.column(0).slice(at, 128).to_pylist(), batch.column(1).slice(at, 128).to_pylist()):
-                    ids = np.append(encode(text or "", path), np.uint32(end_id))
+                    ids = np.append(encode_with_added(text or "", path, special), np.uint32(end_id))
                     packer.add(doc_id, ids)
                     held += len(ids)
                 if held > chunk_tokens:

@@ -10,6 +10,7 @@ letter, so memory does not follow the length of a text.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from functools import lru_cache
 
@@ -46,6 +47,22 @@ def _encode(text: str, own) -> list[int]:
     return [i for part in _RUN.split(text) for i in own.encode_ordinary(part)]
 
 
+def default_added() -> dict[str, int]:
+    """Added tokens of byte_bpe_50k.json and their ids: their strings are found in a text before anything else."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def encode_with_added(text: str, ranks_path: str, added: dict[str, int]) -> np.ndarray:
+    """The ids of a text where each string of ``added``, the leftmost and longest first, has its own id."""
+    if not any(t in text for t in added):
+        return encode(text, ranks_path)
+    parts = re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text)
+    return np.concatenate([np.array([added[p]], np.uint32) if k % 2 else encode(p, ranks_path) for k, p in enumerate(parts)])
+
+
 def encode(text: str, ranks_path: str) -> np.ndarray:
     """The ids of a text; special strings in it are ordinary text."""
     own, out, at = encoder(ranks_path), [], 0

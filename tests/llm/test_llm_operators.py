@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import license_scan, lm_scoring, mixing, mtree, near_dedup, packing, quality, quality_rules, sharding, subwords, toxicity
+from factloom.llm import license_scan, lm_scoring, mixing, mtree, near_dedup, packing, quality, quality_rules, sharding, subwords, supervised, toxicity
 from factloom.llm.kernel import mix
 from factloom.llm.supervised import fold
 
@@ -289,6 +289,34 @@ def test_whole_words_stay_beside_stems(spark):
 
 
 @pytest.mark.parametrize("n", [199, 201])
+def test_long_texts_count_hits_as_a_whole(monkeypatch):
+    """Pieces cut no word and no window: the same counts as in one piece, at every size of a piece."""
+    rnd = random.Random(5)
+    vocab = ["idiot", "st0opid", "moron", "kind", "river", "said", '"', "\u201cyes\u201d", "\u00fcber", "a" * 70]
+    texts = [" ".join(rnd.choice(vocab) for _ in range(rnd.randrange(300))) for _ in range(40)]
+    model = toxicity.ToxicityModel([("idiot", False), ("moron", False), ("stupid", False)])
+    want = [model.features(t) for t in texts]
+    assert sum(map(sum, want)) > 100
+    for size in (1, 16, 50, 200):
+        monkeypatch.setattr(supervised, "PIECE", size)
+        assert [model.features(t) for t in texts] == want
+
+
+def test_term_choice_has_no_cap(spark, monkeypatch):
+    """The same terms, whether candidates are looked at all at once or a few a round."""
+    rnd = random.Random(11)
+    bad = [f"bad{chr(97 + i)}{chr(97 + j)}word" for i in range(6) for j in range(6)]
+    rows = [(i, " ".join([rnd.choice(bad), *(f"word{rnd.randrange(90)}" for _ in range(10))]), 1) for i in range(300)]
+    rows += [(1000 + i, " ".join(f"word{rnd.randrange(90)}" for _ in range(10)), 0) for i in range(300)]
+    sample = spark.createDataFrame(rows, "id long, text string, y int").cache()
+    whole = toxicity.learn_terms(sample)
+    monkeypatch.setattr(toxicity, "ROUND", 3)
+    few = toxicity.learn_terms(sample)
+    texts = [r[1] for r in rows]
+    hit = [[toxicity.ToxicityModel(t).features(x) for x in texts] for t in (whole, few)]
+    assert [sum(f) > 0 for f in hit[0]] == [sum(f) > 0 for f in hit[1]] and sum(sum(f) > 0 for f in hit[0][:300]) > 290
+
+
 def test_one_rule_for_terms_at_every_size(spark, n):
     # one document in two is toxic: 'chance' words of two toxic documents prove nothing, a word of 30 does
     rows = [(i, f"{chr(97 + i // 2 % 26)}{chr(97 + i // 52)}qzchance" + (" realterm" if i < 30 else ""), 1) for i in range(n)] + [(1000 + i, "plain", 0) for i in range(n)]
@@ -311,10 +339,10 @@ def test_packing_round_trip(spark, edge):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
-    rows = packing.pack_documents(edge.repartition(2)).toPandas()
+    special = (70, "abc <|endoftext|> def<|endoftext|>", None, None, None, None, None, None, None)
+    rows = packing.pack_documents(edge.union(spark.createDataFrame([special], SCHEMA)).repartition(2)).toPandas()
     want = Counter()
-    for r in edge_rows():
+    for r in [*edge_rows(), special]:
         ids = [*own.encode(r[1] or "", add_special_tokens=False).ids, 0]
         want[(r[0], len(ids))] += len(ids)
     got = Counter()
@@ -325,7 +353,7 @@ def test_packing_round_trip(spark, edge):
         g = g.sort_values("offset")
         assert (g.offset.values == np.r_[0, g.length.cumsum().values[:-1]]).all() and g.length.sum() <= 1024
     full = rows.groupby("sequence_id").length.sum()
-    assert ((full & (full - 1)) != 0).sum() <= 2
+    assert ((full & (full - 1)) == 0).all()  # no padding at all
     one = rows[rows.doc_id == 60].sort_values("start")
     ids = np.array([*own.encode(edge_rows()[-1][1], add_special_tokens=False).ids, 0], "<u4")
     for r in one.itertuples():
@@ -341,12 +369,12 @@ def test_subwords_equal_the_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
     own, rnd = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(1)
-    own.encode_special_tokens = True
     texts = ["".join(rnd.choice(["a", "Bc", "é", " ", "  ", "\n", "\t", "1", "'s", "!", "\xa0", "日", "  \n", "<|endoftext|>"]) for _ in range(rnd.randrange(16))) for _ in range(3000)]
     want = [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    path, added = subwords.default_ranks(), subwords.default_added()
     for piece in (1 << 20, 4):
         monkeypatch.setattr(subwords, "PIECE", piece)
-        assert [subwords.encode(t, subwords.default_ranks()).tolist() for t in texts] == want
+        assert [subwords.encode_with_added(t, path, added).tolist() for t in texts] == want
 
 
 # --- mixing -----------------------------------------------------------------
