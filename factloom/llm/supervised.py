@@ -48,11 +48,12 @@ def with_scores(docs: DataFrame, text_col: str, score: Callable[[pa.Array], Iter
 
 
 def pieces(text: str) -> Iterator[str]:
-    """A text in pieces of at most ``PIECE`` characters, cut at a space where there is one."""
+    """A text in pieces of about ``PIECE`` characters, cut at spaces only: a longer run without one stays whole."""
     at = 0
     while len(text) - at > PIECE:
-        end = text.rfind(" ", at, at + PIECE)
-        end = at + PIECE if end <= at else end
+        end = text.rfind(" ", at + 1, at + PIECE)
+        if end < 0 and (end := text.find(" ", at + PIECE)) < 0:
+            break
         yield text[at:end]
         at = end
     yield text[at:]

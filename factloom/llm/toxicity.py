@@ -20,7 +20,8 @@ Without labels the priors and the general list stand alone.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, deque
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ TOKEN = re.compile(rf"{WORD.pattern}|[{QUOTES}]")
 WINDOW = 6
 STEMS = (4, 5, 6)
 FALSE_SHARE = 0.05
+ROUND = 4_000
 PRIOR = np.array([-3.0, 4.0, 1.0, 0.7, 0.2])
 
 
@@ -159,19 +161,27 @@ class ToxicityModel:
         """(hits unquoted and quoted, misspelled hits unquoted and quoted) of a text."""
         if self.automaton is None:
             self.automaton = Automaton(self.terms)
-        out = [0, 0, 0, 0]
-        for piece in pieces(text.lower()):
+        out, before, parts = [0, 0, 0, 0], [], pieces(text)
+        ahead = deque([next(parts).lower()])
+        while ahead:
+            piece, behind, k = ahead.popleft(), [], 0
+            while len(behind) < WINDOW and (k < len(ahead) or (more := next(parts, None)) is not None):
+                if k == len(ahead):
+                    ahead.append(more.lower())
+                behind += [m.group() for m in islice(TOKEN.finditer(ahead[k]), WINDOW - len(behind))]
+                k += 1
             hits = {w: found for w in set(WORD.findall(piece)) if (found := self.hits(w))}
-            if not hits:
-                continue
-            tokens = TOKEN.findall(piece)
-            for at, w in enumerate(tokens):
-                if w in hits:
-                    near = tokens[max(0, at - WINDOW) : at + WINDOW + 1]
-                    before, after = tokens[max(0, at - WINDOW) : at], tokens[at + 1 : at + WINDOW + 1]
-                    quoted = any(x in QUOTES for x in before) and any(x in QUOTES for x in after) or any(x in REPORTING for x in near)
-                    for e in hits[w]:
+            if not hits and not ahead:
+                break
+            own = TOKEN.findall(piece)
+            tokens = before + own + behind
+            for at in range(len(before), len(before) + len(own)):
+                if tokens[at] in hits:
+                    left, right = tokens[max(0, at - WINDOW) : at], tokens[at + 1 : at + WINDOW + 1]
+                    quoted = any(x in QUOTES for x in left) and any(x in QUOTES for x in right) or any(x in REPORTING for x in left + right)
+                    for e in hits[tokens[at]]:
                         out[2 * (e > 0) + quoted] += 1
+            before = (before + own)[-WINDOW:]
         return tuple(out)
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -201,8 +211,12 @@ def accepted(terms: DataFrame) -> float:
     return float(level)
 
 
-def learn_terms(sample: DataFrame, sample_rows: int, max_terms: int = 2_000) -> list[tuple[str, bool]]:
-    """Words and stems of toxic documents; ``sample`` (id, text, y) has a bounded number of rows."""
+def learn_terms(sample: DataFrame) -> list[tuple[str, bool]]:
+    """Words and stems of toxic documents; ``sample`` (id, text, y) has a bounded number of rows.
+
+    Terms are chosen greedily by the further toxic documents that they explain, ``ROUND`` candidates at a time: only
+    these bring their documents to the driver, and rounds go on until no term that the test admits is left over.
+    """
 
     def count(batches):
         clean, rows = Counter(), []
@@ -225,38 +239,45 @@ def learn_terms(sample: DataFrame, sample_rows: int, max_terms: int = 2_000) ->
         return []
     terms = found.groupBy("term").agg(F.collect_list("id").alias("ids"), F.sum("clean").alias("clean")).where(F.size("ids") > 0)
     terms = materialize(terms.withColumn("p", chance(F.size("ids"), F.col("clean"), n / rows)), "terms")
-    level = accepted(terms)
-    terms = terms.where(F.col("p") <= level).where(F.col("clean") <= 0.03 * F.size("ids")).orderBy(F.size("ids").desc(), F.length("term"), "term").limit(20 * max_terms)
-    sets = {r["term"]: set(r["ids"]) for r in terms.collect()}
+    fit = terms.where(F.col("p") <= accepted(terms)).where(F.col("clean") <= 0.03 * F.size("ids"))
+    fit = materialize(fit.select("term", "ids", F.size("ids").alias("n")), "terms")
+    discard(terms)
     least = 2  # further toxic documents that a chosen term explains
-    open_, chosen = set().union(*sets.values()) if sets else set(), []
-    order = sorted(sets, key=lambda t: (-len(sets[t]), len(t), t))
-    while order and len(chosen) < max_terms:
-        gains = sorted(((len(sets[t] & open_), t) for t in order), key=lambda x: (-x[0], len(x[1]), x[1]))
+    open_ = {r["id"] for r in fit.select(F.explode("ids").alias("id")).distinct().collect()}  # at most the sample's rows
+    chosen: set[str] = set()
+    while open_:
+        left = sample.sparkSession.createDataFrame(sorted((i,) for i in open_), "id long")
+        gain = fit.select("term", F.explode("ids").alias("id")).join(F.broadcast(left), "id").groupBy("term").agg(F.count("*").alias("gain")).where(F.col("gain") >= least)
+        best = gain.orderBy(F.col("gain").desc(), F.length("term"), "term").limit(ROUND)
         took = False
-        for gain, t in gains:  # one sweep takes every term whose gain still stands
-            now = len(sets[t] & open_)
-            if now >= least and now >= 0.8 * gain and len(chosen) < max_terms:
-                chosen.append(t)
-                open_ -= sets[t]
+        for r in best.join(fit, "term").orderBy(F.col("gain").desc(), F.length("term"), "term").collect():  # at most ROUND rows
+            if r["term"] in chosen:
+                continue
+            now = open_.intersection(r["ids"])
+            if len(now) >= least and len(now) >= 0.8 * r["gain"]:  # one sweep takes every term whose gain still stands
+                chosen.add(r["term"])
+                open_ -= now
                 took = True
-        order = [t for g, t in gains if g >= least and t not in chosen]
         if not took:
             break
-    firm = [t for t in sets if t.endswith("$") and len(sets[t]) >= 0.02 * n]
-    stems = {t for t in chosen if not t.endswith("$")}
-    whole = [t for t in sets if t.endswith("$") and any(t[:k] in stems for k in STEMS)]  # beside their stems: stems match without edits
-    return sorted({(t.rstrip("$"), not t.endswith("$")) for t in [*chosen, *firm, *whole]})
+    stems = [t for t in chosen if not t.endswith("$")]
+    word = F.col("term").endswith("$")
+    beside = F.col("n") >= 0.02 * n  # frequent words, and words beside their stems: stems match without edits
+    for k in STEMS:
+        beside |= F.substring("term", 1, k).isin([t for t in stems if len(t) == k])
+    whole = [r["term"] for r in fit.where(word & beside).select("term").collect()]
+    discard(fit)
+    return sorted({(t.rstrip("$"), not t.endswith("$")) for t in [*chosen, *whole]})
 
 
 def _term_rows(clean: Counter, rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([*clean, *(t for t, _ in rows)], pa.string()), pa.array([None] * len(clean) + [i for _, i in rows], pa.int64()), pa.array([*clean.values(), *[0] * len(rows)], pa.int64())], ["term", "id", "clean"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, max_terms: int = 2_000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fit on at most ``sample_rows`` labelled rows; ``allowed`` limits whose labels are learned from."""
     sample = materialize(labelled(docs, labels, label_col, id_col, text_col, allowed, sample_rows), "toxicity")
-    model = ToxicityModel(sorted({(t, False) for t in INSULTS} | set(learn_terms(sample, sample_rows, max_terms))))
+    model = ToxicityModel(sorted({(t, False) for t in INSULTS} | set(learn_terms(sample))))
 
     def measure(batches):
         for batch in batches:

@@ -283,12 +283,11 @@ def test_misspelled_and_split_words_are_hits(spark):
 
 def test_whole_words_stay_beside_stems(spark):
     rows = [(i, f"filler{i % 7} glorbnak" + ("s" if i % 2 else ""), 1) for i in range(40)] + [(100 + i, f"filler{i % 7} other", 0) for i in range(400)]
-    terms = toxicity.learn_terms(spark.createDataFrame(rows, "id long, text string, y int"), 1000)
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "id long, text string, y int"))
     assert ("glor", True) in terms and ("glorbnak", False) in terms
     assert toxicity.ToxicityModel(terms).features("gl0rbnak gxorbnak") [2] == 2
 
 
-@pytest.mark.parametrize("n", [199, 201])
 def test_long_texts_count_hits_as_a_whole(monkeypatch):
     """Pieces cut no word and no window: the same counts as in one piece, at every size of a piece."""
     rnd = random.Random(5)
@@ -317,17 +316,18 @@ def test_term_choice_has_no_cap(spark, monkeypatch):
     assert [sum(f) > 0 for f in hit[0]] == [sum(f) > 0 for f in hit[1]] and sum(sum(f) > 0 for f in hit[0][:300]) > 290
 
 
+@pytest.mark.parametrize("n", [199, 201])
 def test_one_rule_for_terms_at_every_size(spark, n):
     # one document in two is toxic: 'chance' words of two toxic documents prove nothing, a word of 30 does
     rows = [(i, f"{chr(97 + i // 2 % 26)}{chr(97 + i // 52)}qzchance" + (" realterm" if i < 30 else ""), 1) for i in range(n)] + [(1000 + i, "plain", 0) for i in range(n)]
-    terms = {t for t, _ in toxicity.learn_terms(spark.createDataFrame(rows, "id long, text string, y int"), 1000)}
+    terms = {t for t, _ in toxicity.learn_terms(spark.createDataFrame(rows, "id long, text string, y int"))}
     assert "realterm" in terms and all("realterm".startswith(t) for t in terms)
 
 
 def test_rare_significant_terms_are_learned_from_many_labels(spark):
     # 250 toxic rows; a word of four of them, and of none of 20,000 others
     rows = [(i, "commonterm" + (" quixterm" if i < 4 else ""), 1) for i in range(250)] + [(1000 + i, "plain", 0) for i in range(20_000)]
-    terms = toxicity.learn_terms(spark.createDataFrame(rows, "id long, text string, y int").withColumn("text", F.when(F.col("id") < 4, "quixterm").otherwise(F.col("text"))), 30_000)
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "id long, text string, y int").withColumn("text", F.when(F.col("id") < 4, "quixterm").otherwise(F.col("text"))))
     assert any(t == "quixterm" or stem and "quixterm".startswith(t) for t, stem in terms)
 
 
