@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that the driver and every executor share.
 
-The folder is ``spark.checkpoint.dir``.  Where it is unset (tests on one
-machine) a temporary folder is set.  Tables are plain Parquet, so a lost
+The folder is ``spark.checkpoint.dir``.  Where it is unset, a temporary folder
+is set on a local master, where all tasks see it; a cluster gets an error.  Tables are plain Parquet, so a lost
 executor costs nothing but the reread of a file.
 """
 
@@ -18,10 +18,12 @@ _made: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set where none is."""
+    """The session's checkpoint folder; on a local master a temporary one is set where none is."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="factloom-")
         sc.setCheckpointDir(where)
         where = sc.getCheckpointDir() or where

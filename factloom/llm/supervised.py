@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Labelled rows that a classifier is fitted on, at most; chosen by a hash of the id.
 SAMPLE_ROWS = 20_000
@@ -36,7 +37,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, te
 def with_scores(docs: DataFrame, text_col: str, score: Callable[[pa.Array], Iterator[tuple[int, np.ndarray]]], least: float, names: tuple[str, str]) -> DataFrame:
     """``docs`` with a score and a 0/1 prediction appended; every other column passes untouched, by position."""
     at = docs.columns.index(text_col)
-    fields = [f"`{c}` {t}" for c, t in docs.dtypes]
+    fields = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches):
         for batch in batches:
@@ -44,7 +45,7 @@ def with_scores(docs: DataFrame, text_col: str, score: Callable[[pa.Array], Iter
                 part = batch.slice(row, len(values))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.float64()), pa.array((values >= least).astype(np.int32), pa.int32())], [*part.schema.names, *names])
 
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{names[0]}` double", f"`{names[1]}` int"]))
+    return docs.mapInArrow(run, fields)
 
 
 def pieces(text: str) -> Iterator[str]:

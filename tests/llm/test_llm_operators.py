@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import license_scan, lm_scoring, mixing, mtree, near_dedup, packing, quality, quality_rules, sharding, subwords, supervised, toxicity
+from factloom.llm import license_scan, lm_scoring, mixing, mtree, near_dedup, packing, parts, quality, quality_rules, sharding, subwords, supervised, toxicity
 from factloom.llm.kernel import mix
 from factloom.llm.supervised import fold
 
@@ -221,6 +221,39 @@ def test_quality_held_out(spark):
     assert ((r.score >= 0.3).astype(int) == r.predicted).all() and r.score.between(0, 1).all()
 
 
+def test_quality_equals_a_direct_ridge(spark):
+    """Partition sums and their solution against plain numpy on the same statistics and features."""
+    import pyarrow as pa
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.fit_quality(docs, labels, fold("id", 5) != 0)
+    rows = supervised.labelled(docs, labels, "quality", "doc_id", "text", fold("id", 5) != 0).withColumn("held", F.pmod(F.xxhash64("id"), F.lit(4)) == 0).toPandas()
+    s = np.concatenate([x for _, x in quality.statistics(pa.array(rows.text))])
+    assert np.allclose(model.mean, s.mean(0)) and np.allclose(model.sd, np.maximum(s.std(0), 1e-3))
+    z = np.clip((s - s.mean(0)) / model.sd, -6, 6)
+    kernel = np.exp(-((z[:40, None] - z[None, :40]) ** 2).sum(2) / 2 / len(model.w))
+    wide = quality.QualityModel(20_000)
+    assert np.abs(kernel - (m := wide.map(z[:40]))[:, :-1] @ m[:, :-1].T).max() < 0.05  # the map stands for a Gaussian kernel
+    m, y = np.hstack([np.cos(z @ model.w + model.b) * np.sqrt(2 / 256), np.ones((len(z), 1))]), rows.y.values
+    v = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    fit = ~rows.held.values
+    a = m[fit].T @ (m[fit] * v[fit, None])
+    beta = np.linalg.solve(a + 1e-3 * np.trace(a) / 257 * np.eye(257), m[fit].T @ (v[fit] * y[fit]))
+    assert np.allclose(m @ model.beta, m @ beta, atol=1e-6)
+    raw = m[~fit] @ beta
+    best = min((((np.where(raw >= t, hi, lo) - y[~fit]) ** 2).sum() for t in np.quantile(raw, np.linspace(0, 1, 30)) for lo, hi in ((0.1, 0.9), (0.2, 0.8), (0, 1))), default=0)
+    assert ((model.score(s[~fit]) - y[~fit]) ** 2).sum() <= best + 1  # no worse than steps, which are isotonic too
+
+
+@pytest.mark.parametrize("name", sorted(parts.queries()))
+def test_parts_equal_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
+    want = con.sql(parts.oracle_sql()[name])
+    got = parts.queries()[name](spark, DIR).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 def test_toxicity_held_out(spark):
     r = toxicity.op7_levenshtein_toxicity(spark, "/root/testdata/sf0.01").toPandas().merge(pd.read_parquet("/root/testdata/sf0.01/labels.parquet"), on="doc_id")
     held = r[r.held_out]
