@@ -6,9 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def floor_division(a: Column, b: Column) -> Column:
+    """Largest integer not above a / b, in whole numbers: exact for all of them; null for b = 0."""
+    a, b = a.cast("long"), b.cast("long")
+    whole = F.call_function("div", a, F.when(b != 0, b))
+    off = (F.try_mod(a, b) != 0) & ((a < 0) != (b < 0))
+    return F.when(b != 0, F.when(off, whole - 1).otherwise(whole))
+
+
 def ceil_division(a: Column, b: Column) -> Column:
-    """Smallest integer not below a / b, for integers of any sign."""
-    return F.when(b != 0, -F.floor(-a / b)).cast("long")
+    """Smallest integer not below a / b, for integers of any sign; null for b = 0."""
+    a, b = a.cast("long"), b.cast("long")
+    off = (F.try_mod(a, b) != 0) & ((a < 0) == (b < 0))
+    return F.when(b != 0, F.call_function("div", a, F.when(b != 0, b)) + F.when(off, 1).otherwise(0))
 
 
 def floor_modulo(a: Column, b: Column) -> Column:
@@ -17,11 +27,11 @@ def floor_modulo(a: Column, b: Column) -> Column:
 
 
 def iteration_count(lo: Column, hi: Column, step: Column) -> Column:
-    return F.greatest(F.lit(0), F.floor((hi - lo + step) / step)).cast("long")
+    return F.greatest(F.lit(0), floor_division(hi - lo + step, step)).cast("long")
 
 
 def iteration_number(i: Column, lo: Column, step: Column) -> Column:
-    return F.floor((i - lo + step) / step).cast("long")
+    return floor_division(i - lo + step, step)
 
 
 def iteration_index(n: Column, lo: Column, step: Column) -> Column:

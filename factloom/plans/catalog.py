@@ -164,9 +164,9 @@ def search_masked_range(t):
 # --- graph ------------------------------------------------------------------
 
 
-@query(f"""WITH RECURSIVE {EDGES}, r AS (SELECT DISTINCT 'c' || c_custkey AS vertex FROM customer WHERE c_custkey < 20 UNION SELECT dst FROM r JOIN edges ON src = vertex) SELECT vertex FROM r""")
+@query(f"""WITH RECURSIVE {EDGES}, r AS (SELECT DISTINCT 'c' || c_custkey AS vertex FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT dst FROM r JOIN edges ON src = vertex) SELECT vertex FROM r""")
 def graph_reachable(t):
-    seeds = t.customer.where("c_custkey < 20").select(F.concat(F.lit("c"), "c_custkey").alias("vertex"))
+    seeds = t.customer.where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), "c_custkey").alias("vertex"))
     return graph.reachable(entity_edges(t), seeds).select("vertex")
 
 
@@ -179,10 +179,7 @@ def graph_depth(t):
 @query(f"""WITH RECURSIVE {EDGES}, r AS (SELECT DISTINCT src AS vertex, 0 AS d FROM edges WHERE src NOT IN (SELECT dst FROM edges) UNION SELECT dst, d + 1 FROM r JOIN edges ON src = vertex)
 SELECT vertex, max(d)::INTEGER AS depth, row_number() OVER (ORDER BY max(d), vertex) AS pos FROM r WHERE vertex LIKE 's%' GROUP BY vertex""")
 def graph_ordered_scan(t):
-    from pyspark.sql import Window
-
-    d = graph.depths(entity_edges(t)).where(F.col("vertex").startswith("s"))
-    return d.withColumn("pos", F.row_number().over(Window.orderBy("depth", "vertex")).cast("long"))
+    return graph.ordered(graph.depths(entity_edges(t)).where(F.col("vertex").startswith("s")), ["depth", "vertex"])
 
 
 @query("""SELECT DISTINCT c.n_name AS src, s.n_name AS dst FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation c ON c.n_nationkey = c_nationkey
@@ -207,19 +204,19 @@ def graph_successors(t):
     return graph.successors_through(e, v)
 
 
-@query(f"""WITH RECURSIVE {EDGES}, r AS (SELECT DISTINCT 'c' || c_custkey AS vertex FROM customer WHERE c_custkey < 20 UNION SELECT dst FROM r JOIN edges ON src = vertex)
+@query(f"""WITH RECURSIVE {EDGES}, r AS (SELECT DISTINCT 'c' || c_custkey AS vertex FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT dst FROM r JOIN edges ON src = vertex)
 SELECT src, dst FROM edges WHERE src IN (SELECT vertex FROM r) AND dst IN (SELECT vertex FROM r)""")
 def graph_induced(t):
     e = entity_edges(t)
-    seeds = t.customer.where("c_custkey < 20").select(F.concat(F.lit("c"), "c_custkey").alias("vertex"))
+    seeds = t.customer.where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), "c_custkey").alias("vertex"))
     return graph.induced(e, graph.reachable(e, seeds))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, f AS (SELECT * FROM edges WHERE dst NOT LIKE 's1%'), r AS (SELECT DISTINCT 'c' || c_custkey AS vertex FROM customer WHERE c_custkey < 20 UNION SELECT dst FROM r JOIN f ON src = vertex) SELECT vertex FROM r""")
+@query(f"""WITH RECURSIVE {EDGES}, f AS (SELECT * FROM edges WHERE dst NOT LIKE 's1%'), r AS (SELECT DISTINCT 'c' || c_custkey AS vertex FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT dst FROM r JOIN f ON src = vertex) SELECT vertex FROM r""")
 def graph_blocked(t):
     e = entity_edges(t)
     block = graph.matches(e.select(F.col("dst").alias("vertex")).distinct(), "vertex", ["s1*"])
-    seeds = t.customer.where("c_custkey < 20").select(F.concat(F.lit("c"), "c_custkey").alias("vertex"))
+    seeds = t.customer.where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), "c_custkey").alias("vertex"))
     return graph.reachable(graph.blocked(e, block), seeds).select("vertex")
 
 
@@ -271,12 +268,16 @@ def graph_targets(t):
     return e.groupBy("src").agg(F.count("*").alias("targets"), F.count_if(F.col("dst").startswith("s")).alias("suppliers"), (~F.bool_or(F.col("dst").startswith("s3"))).alias("clear"))
 
 
-@query(f"""WITH o AS (SELECT o_custkey, max(o_totalprice) AS m FROM orders GROUP BY 1), c AS (SELECT c_nationkey, max(c_acctbal + coalesce(m, 0)) AS m FROM customer LEFT JOIN o ON o_custkey = c_custkey GROUP BY 1)
-SELECT n_nationkey, round(n_nationkey + coalesce(m, 0), 4) AS total FROM nation LEFT JOIN c ON c_nationkey = n_nationkey""")
+@query("""WITH o AS (SELECT o_custkey, max(o_totalprice) AS m FROM orders GROUP BY 1), c AS (SELECT c_custkey, c_nationkey, c_acctbal + coalesce(m, 0) AS m FROM customer LEFT JOIN o ON o_custkey = c_custkey),
+n AS (SELECT c_nationkey, max(m) AS m FROM c GROUP BY 1)
+SELECT 'n' || n_nationkey AS vertex, round(n_nationkey + m, 4) AS total FROM nation JOIN n ON c_nationkey = n_nationkey
+UNION ALL SELECT 'c' || c_custkey, round(m, 4) FROM c UNION ALL SELECT 'o' || o_orderkey, round(o_totalprice, 4) FROM orders""")
 def graph_own_plus_largest_child(t):
-    o = t.orders.groupBy("o_custkey").agg(F.max("o_totalprice").alias("m"))
-    c = t.customer.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_nationkey").agg(F.max(F.col("c_acctbal") + F.coalesce("m", F.lit(0.0))).alias("m"))
-    return t.nation.join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_nationkey", F.round(F.col("n_nationkey") + F.coalesce("m", F.lit(0.0)), 4).alias("total"))
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = t.customer.select(name("n", "c_nationkey").alias("src"), name("c", "c_custkey").alias("dst")).union(t.orders.select(name("c", "o_custkey"), name("o", "o_orderkey")))
+    weight = t.nation.select(name("n", "n_nationkey").alias("vertex"), F.col("n_nationkey").cast("double").alias("weight"))
+    weight = weight.union(t.customer.select(name("c", "c_custkey"), "c_acctbal")).union(t.orders.select(name("o", "o_orderkey"), "o_totalprice"))
+    return graph.own_plus_largest_child(edges, weight).select("vertex", F.round("total", 4).alias("total"))
 
 
 # --- resolution -------------------------------------------------------------

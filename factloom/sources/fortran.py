@@ -51,11 +51,16 @@ def _owned(stmts: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def imports(stmts: DataFrame) -> DataFrame:
-    """(path, line, scope, module, local_name, use_name, is_wildcard): a row a name; renames keep both names."""
-    use = r"(?i)^\s*use\s*(?:,\s*(?:non_)?intrinsic\s*)?(?:::)?\s*([a-z]\w*)\s*(,\s*only\s*:\s*(.*))?"
-    rows = stmts.where(F.col("stmt").rlike(r"(?i)^\s*use\b")).select("path", "line", F.lower(F.regexp_extract("stmt", use, 1)).alias("module"), F.regexp_extract("stmt", use, 3).alias("names"))
+    """(path, line, scope, module, local_name, use_name, is_wildcard): a row a name; renames keep both names.
+
+    Without ONLY all names come in: a wildcard row, and beside it a row for each rename.
+    """
+    use = r"(?i)^\s*use\s*(?:,\s*(?:non_)?intrinsic\s*)?(?:::)?\s*([a-z]\w*)\s*(?:,\s*(only\s*:)?\s*(.*))?"
+    rows = stmts.where(F.col("stmt").rlike(r"(?i)^\s*use\b")).select("path", "line", F.lower(F.regexp_extract("stmt", use, 1)).alias("module"), (F.regexp_extract("stmt", use, 2) != "").alias("only"), F.regexp_extract("stmt", use, 3).alias("names"))
     rows = _owned(stmts, rows).withColumnRenamed("owner", "scope")
-    each = rows.select("path", "line", "scope", "module", F.explode_outer(F.when(F.col("names") != "", F.split("names", r"\s*,\s*"))).alias("item"))
+    named = F.filter(F.split("names", r"\s*,\s*"), lambda x: x != "")
+    items = F.when(F.col("only"), named).otherwise(F.concat(F.array(F.lit(None).cast("string")), named))
+    each = rows.select("path", "line", "scope", "module", F.explode(items).alias("item"))
     pair = F.split(F.lower(F.trim("item")), r"\s*=>\s*")
     return each.select("path", "line", "scope", "module", pair[0].alias("local_name"), F.when(F.size(pair) > 1, F.get(pair, F.lit(1))).alias("use_name"), F.col("item").isNull().alias("is_wildcard"))
 

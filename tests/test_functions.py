@@ -32,3 +32,16 @@ def test_polyhedra():
     assert P.is_empty([[Fraction(1)], [Fraction(-1)]], [Fraction(0), Fraction(-1)])
     assert P.row_echelon([[2, 4], [1, 3]]) == [[2, 4], [0, 1]]
     assert P.independent([[1, 0], [0, 2]]) and not P.independent([[1, 1], [0, 2]])
+
+
+def test_whole_number_division_is_exact(spark):
+    from factloom.functions import scalar
+    from pyspark.sql import functions as F
+
+    big = 2**53 + 1
+    rows = [(a, b) for a in (-7, -6, 0, 6, 7, big, -big) for b in (-3, -1, 0, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    got = df.select("a", "b", scalar.ceil_division(F.col("a"), F.col("b")).alias("c"), scalar.floor_division(F.col("a"), F.col("b")).alias("f")).collect()
+    assert all((r.c, r.f) == ((-(-r.a // r.b), r.a // r.b) if r.b else (None, None)) for r in got)
+    n = df.where("b <> 0").select("a", "b", scalar.iteration_number(F.col("a"), F.lit(1), F.col("b")).alias("n")).collect()
+    assert all(r.n == (r.a - 1 + r.b) // r.b for r in n)

@@ -10,7 +10,7 @@ contains
     if (n > 1) call kernel('a!b(', &
       & n)
     ! call nothing
-    !$loki data in(n)
+    !$hint data in(n)
     CALL Tool%run(n)
   end subroutine driver
 end module driver_mod
@@ -44,7 +44,7 @@ def test_imports_and_calls(spark):
     assert rows(fortran.calls(s).select("caller", "name")) == [("compute_l1", "compute_l2"), ("driver", "kernel"), ("driver", "tool%run"), ("kernel", "compute_l1")]
     assert rows(fortran.call_edges(s)) == [("compute_l1", "compute_l2"), ("driver", "kernel"), ("kernel", "compute_l1")]
     raw = spark.createDataFrame([("a", DRIVER)], "path string, text string")
-    assert rows(fortran.pragmas(raw)) == [("a", 10, "loki", "data in(n)")]
+    assert rows(fortran.pragmas(raw)) == [("a", 10, "hint", "data in(n)")]
 
 
 def test_graph_of_sources(spark):
@@ -75,3 +75,9 @@ def test_dataflow_fold(spark):
     assert got[1] == ("n", "a,b,c", "b,n,v1,x")
     assert got[7] == ("a,i,n", "c", "b")
     assert got[8] == ("a,b,c,n", "d", "b,c")
+
+
+def test_renames_without_only(spark):
+    raw = spark.createDataFrame([("a", "subroutine s\nuse base, r => raw, q=>b2\nuse, intrinsic :: iso_c_binding\nuse m, only: x, y => z\nuse n, only:\nend")], "path string, text string")
+    got = sorted(((r.module, r.local_name, r.use_name, r.is_wildcard) for r in fortran.imports(fortran.statements(raw)).collect()), key=repr)
+    assert got == sorted([("base", None, None, True), ("base", "r", "raw", False), ("base", "q", "b2", False), ("iso_c_binding", None, None, True), ("m", "x", None, False), ("m", "y", "z", False)], key=repr)
