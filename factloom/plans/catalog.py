@@ -555,8 +555,12 @@ def rule_disabled_by_hash(t):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import programs  # noqa: F401  registers its queries here
+
     return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import programs  # noqa: F401
+
     return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
