@@ -84,3 +84,25 @@ def independent(m: list[list[int]]) -> bool:
     used = [[k for k, x in enumerate(r) if x] for r in m]
     flat = [k for u in used for k in u]
     return all(len(u) <= 1 for u in used) and len(flat) == len(set(flat))
+
+
+def one_variable_systems(m: list[list[int]], b: list[int]) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(variable, its equations (coefficient, right-hand side)) of an independent system, in order of the variables."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    for row, c in zip(m, b):
+        used = [k for k, x in enumerate(row) if x]
+        if len(used) > 1:
+            raise ValueError("an equation names several variables")
+        for k in used:
+            found.setdefault(k, []).append((row[k], c))
+    return sorted(found.items())
+
+
+def back_substitution(m: list[list[int]], b: list[int]) -> list[Fraction]:
+    """The solution of an upper triangular system; a zero on the diagonal raises."""
+    x = [Fraction(0)] * len(b)
+    for i in range(len(b) - 1, -1, -1):
+        if not m[i][i]:
+            raise ValueError("the matrix is singular")
+        x[i] = (Fraction(b[i]) - sum(Fraction(m[i][k]) * x[k] for k in range(i + 1, len(b)))) / m[i][i]
+    return x

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def lines(docs: DataFrame, unit: str, text: str) -> DataFrame:
-    """(unit, line, start, text): numbered lines with the offset at which each begins."""
-    split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    rows = docs.select(F.col(unit).alias("unit"), F.explode(F.arrays_zip(split.alias("t"), _starts(split).alias("s"), F.sequence(F.lit(1), F.size(split)).alias("n"))).alias("x"))
-    return rows.select("unit", F.col("x.n").alias("line"), F.col("x.s").alias("start"), F.col("x.t").alias("text"))
-
-
-def _starts(split):
-    """Running offsets of the lines of a text."""
-    step = F.aggregate(split, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all")), lambda a, x: F.struct((a["at"] + F.length(x) + 1).cast("long").alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))
-    return step["all"]
+    """(unit, line, start, text): numbered lines with the offset at which each begins.
+
+    Offsets are sums over a row's own lines; where ``start`` is not read, Catalyst drops them and their shuffle.  Null
+    texts count as one empty line; rows that share a unit keep their own offsets.
+    """
+    rows = docs.select(F.col(unit).alias("unit"), F.monotonically_increasing_id().alias("__row"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("__lines"))
+    each = rows.select("unit", "__row", F.posexplode("__lines").alias("__pos", "text"))
+    before = Window.partitionBy("__row").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long")
+    return each.select("unit", (F.col("__pos") + 1).alias("line"), start.alias("start"), "text")
 
 
 def long_lines(rows: DataFrame, limit: int = 132) -> DataFrame:

@@ -56,13 +56,18 @@ def attached(nodes: DataFrame, part: str, order: str, kind: str, note: str, targ
     return marked.where(F.col(kind) == target).join(notes, [part, "_t"]).drop("_t")
 
 
-def regions(nodes: DataFrame, part: str, order: str, kind: str, open_: str, close: str) -> DataFrame:
-    """Nested start/stop pairs: (part, first, last, inside); unmatched marks are left out."""
-    w = Window.partitionBy(part).orderBy(order)
-    marks = nodes.withColumn("_pos", F.row_number().over(w)).where(F.col(kind).isin([open_, close]))
+def regions(nodes: DataFrame, part: str, order: str, kind: str, open_: str, close: str, marker: list[str] | None = None) -> DataFrame:
+    """Nested start/stop pairs: (part, first, last, inside); unmatched marks are left out.
+
+    With ``marker`` (columns, such as keyword and directive) a stop closes a start of the same values only, whatever
+    other markers lie between.  Ties in ``order`` have no defined result.
+    """
+    own = [part, *(marker or [])]
+    marks = nodes.withColumn("_pos", F.row_number().over(Window.partitionBy(part).orderBy(order))).where(F.col(kind).isin([open_, close]))
+    w = Window.partitionBy(*own).orderBy(order)
     level = F.sum(F.when(F.col(kind) == open_, 1).otherwise(-1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     marks = marks.withColumn("_l", level + F.when(F.col(kind) == close, 1).otherwise(0))
-    nxt = Window.partitionBy(part, "_l").orderBy(order)
+    nxt = Window.partitionBy(*own, "_l").orderBy(order)
     pairs = marks.withColumn("_k", F.lead(kind).over(nxt)).withColumn("last", F.lead(order).over(nxt)).withColumn("_p", F.lead("_pos").over(nxt))
     return pairs.where((F.col(kind) == open_) & (F.col("_k") == close)).select(part, F.col(order).alias("first"), "last", (F.col("_p") - F.col("_pos") - 1).cast("long").alias("inside"))
 

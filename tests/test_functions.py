@@ -45,3 +45,16 @@ def test_whole_number_division_is_exact(spark):
     assert all((r.c, r.f) == ((-(-r.a // r.b), r.a // r.b) if r.b else (None, None)) for r in got)
     n = df.where("b <> 0").select("a", "b", scalar.iteration_number(F.col("a"), F.lit(1), F.col("b")).alias("n")).collect()
     assert all(r.n == (r.a - 1 + r.b) // r.b for r in n)
+
+
+def test_systems():
+    from factloom.functions import polyhedra as p
+
+    assert p.one_variable_systems([[0, 2], [3, 0], [0, 1]], [4, 9, 2]) == [(0, [(3, 9)]), (1, [(2, 4), (1, 2)])]
+    assert p.back_substitution([[2, 1], [0, 4]], [5, 4]) == [2, 1]
+    for bad in (lambda: p.one_variable_systems([[1, 1]], [0]), lambda: p.back_substitution([[0]], [1])):
+        try:
+            bad()
+        except ValueError:
+            continue
+        raise AssertionError

@@ -430,3 +430,56 @@ def test_rules(spark, prog):
     assert 'failures="1"' in suites["t.F90"] and 'failures="0"' in suites["ok"]
     assert rules.disable_lists(rules.lint(p, ["argument_sizes"])).collect()[0].entry.startswith("t.F90:\n  rules:\n    argument_sizes:\n      - ")
     assert "[dynamic_ubound]" in rules.text_report(rules.lint(p, ["dynamic_ubound"])).collect()[0].line_text
+
+
+# --- scopes ---------------------------------------------------------------------------
+
+
+def test_scopes(spark, prog):
+    from factloom.operators import scopes as sc
+    from factloom.sources import sinks
+
+    names = spark.createDataFrame([("work_mod.F90", "work_mod/kernel", "NMAX"), ("work_mod.F90", "work_mod/kernel", "tmp"), ("work_mod.F90", "work_mod/f", "none")], "path string, unit string, name string")
+    assert got(sc.lookup(prog, names), "name", "scope", "type") == sorted([("NMAX", "work_mod", "integer"), ("tmp", "work_mod/kernel", "real"), ("none", None, None)], key=repr)
+    assert got(sc.lookup(prog, names, recursive=False), "name", "scope") == sorted([("NMAX", None), ("tmp", "work_mod/kernel"), ("none", None)], key=repr)
+    s = prog.symbols.where("unit = 'drv'")
+    change = spark.createDataFrame([("d.F90", "drv", "o", "class"), ("d.F90", "drv", "new", "real")], "path string, unit string, lname string, type string")
+    new = sc.updated(s, change, ["type"])
+    assert got(new, "lname", "type", "kind") == sorted([("o", "class", "cell"), ("new", "real", None)], key=repr)
+    assert got(sc.equal_attributes(s, new), "lname", "equal") == [("o", False)] and got(sc.equal_attributes(s, new, ["type"]), "equal") == [(True,)]
+    m = "module m\nprivate\npublic :: a, op\nreal :: a, b\nreal, public :: c\ninterface op\nmodule procedure op_a, op_b\nend interface\nend module"
+    p = facts.program(spark.createDataFrame([("m", m)], "path string, text string"))
+    assert got(sc.access(p), "lname", "access") == [("a", "public"), ("b", "private"), ("c", "public")]
+    assert got(sc.interfaces(p), "interface", "symbol") == [("op", "op_a"), ("op", "op_b")]
+    assert got(sc.definitions(p), "kind", "lname") == [("interface", "op"), ("module", "m"), ("variable", "a"), ("variable", "b"), ("variable", "c")]
+    assert {r.part for r in sc.spec_parts(prog).where("unit = 'work_mod/kernel'").collect()} == {"declarations", "code"}
+    lines = [r.value for r in sinks.dot_lines(sc.tree_edges(p)).collect()]
+    assert lines[0] == "digraph callgraph {" and any("interface" in x and "binding" in x and "->" in x for x in lines)
+
+
+def test_plain_scopes():
+    from factloom.operators import scopes as sc
+
+    found = sc.scopes(parse_source("module m\ninteger, parameter :: n = 3, k = n*2\ncontains\nsubroutine s(A)\nuse b, only: r => raw\nreal :: a(n)\nend subroutine\nend module"))
+    s = found["m/s"]
+    assert s.lookup("N")["type"] == "integer" and s.lookup("n", recursive=False) is None and s.lookup("a")["dims"] == ["n"] and s.lookup("r")["use_name"] == "raw"
+    assert s.evaluate("k + 1") == 7 and str(s.evaluate("q + k")) == "q + 6" and s.holder("k").name == "m"
+    s.declare("z", type="real")
+    s.update("k", kind="8")
+    assert found["m"].lookup("k")["kind"] == "8"
+    with pytest.raises(ValueError):
+        s.declare("Z")
+    with pytest.raises(KeyError):
+        s.update("nothing", type="real")
+    unit = parse_source("subroutine s\nx = 1\nend subroutine").body[0]
+    sc.integer_variable(unit, "i")
+    sc.integer_variable(unit, "I")
+    assert codegen.fortran(unit).count("integer :: i") == 1
+
+
+def test_regions_by_marker(spark):
+    from factloom.operators import search
+
+    rows = [("u", 1, "start", "a"), ("u", 2, "start", "b"), ("u", 3, "end", "a"), ("u", 4, "x", "a"), ("u", 5, "end", "b"), ("u", 6, "end", "a"), ("u", 7, "start", "a")]
+    df = spark.createDataFrame(rows, "part string, at int, kind string, mark string")
+    assert got(search.regions(df, "part", "at", "kind", "start", "end", ["mark"]), "first", "last", "inside") == [(1, 3, 1), (2, 5, 2)]
