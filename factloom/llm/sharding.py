@@ -8,7 +8,8 @@ still too large are looked at again with more bits.
 
 Rows without id take the md5 of their text as key.  Rows with the same key that
 outgrow the limit together cannot be split by bits; they chain overflow shards
-(``overflow`` 1, 2, ...).  A single document above the limit has a shard of its
+(``overflow`` 1, 2, ...).  Such a chain is numbered from sums over ``SALTS``
+parts of the key's rows, so no task holds all rows of a key.  A single document above the limit has a shard of its
 own and is the only way to exceed it.  Null texts have 0 bytes; an empty table
 has no shards.  Other columns are ignored.
 """
@@ -21,13 +22,14 @@ from pyspark.sql import functions as F
 from .storage import materialize
 
 BITS = 60
+SALTS = 256
 
 
 def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 32 << 20, step: int = 14) -> DataFrame:
     """(doc_id, bytes, depth, shard, overflow, shard_bytes): ``shard`` is the prefix as ``depth`` binary digits."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.md5(text.cast("binary"))).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
-    open_ = rows = materialize(docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.octet_length(text).cast("long").alias("bytes")), "keys")
+    open_ = rows = materialize(docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.octet_length(text).cast("long").alias("bytes"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt")), "keys")
     base, out = 0, None
     while base < BITS and (base == 0 or open_.limit(1).count()):
         top = min(base + step, BITS)
@@ -41,14 +43,21 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
         joined = open_.join(found, F.shiftright("key", BITS - top) == F.col("prefix"), "left")
         done = joined.where("depth is not null").select("doc_id", "key", "bytes", "depth", "shard_bytes")
         out = done if out is None else out.union(done)
-        open_ = materialize(joined.where("depth is null").select("doc_id", "key", "bytes"), "split")
+        open_ = materialize(joined.where("depth is null").select("doc_id", "key", "bytes", "salt"), "split")
         base = top
     out = out.withColumn("overflow", F.lit(0).cast("long"))
     if base >= BITS:  # more bytes under one whole key than a shard holds
-        w = Window.partitionBy("key").orderBy("bytes", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-        small = F.col("bytes") <= limit // 2
-        chain = open_.withColumn("overflow", F.when(small, F.floor(F.sum(F.when(small, F.col("bytes")).otherwise(0)).over(w) / F.greatest(F.lit(limit // 2), F.lit(1)))).otherwise(F.lit(1 << 40) + F.row_number().over(w.orderBy("bytes", "doc_id"))).cast("long") + 1)
-        chain = chain.withColumn("depth", F.lit(BITS)).withColumn("shard_bytes", F.sum("bytes").over(Window.partitionBy("key", "overflow")))
+        half = max(limit // 2, 1)
+        small = F.when(F.col("bytes") <= half, F.col("bytes")).otherwise(0)
+        part = open_.groupBy("key", "salt").agg(F.sum(small).alias("own"))  # at most SALTS rows a key
+        ahead = F.sum("own").over(Window.partitionBy("key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+        part = part.select("key", "salt", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+        w = Window.partitionBy("key", "salt").orderBy("bytes", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+        chain = open_.join(part, ["key", "salt"]).withColumn("running", F.col("ahead") + F.sum(small).over(w)).withColumn("at", F.row_number().over(w.orderBy("bytes", "doc_id")))
+        alone = F.lit(1 << 40) + F.col("at") * SALTS + F.col("salt")
+        chain = materialize(chain.select("doc_id", "key", "bytes", (F.when(F.col("bytes") <= half, F.floor(F.col("running") / half)).otherwise(alone).cast("long") + 1).alias("overflow")), "chain")
+        size = chain.groupBy("key", "overflow").agg(F.sum("bytes").alias("shard_bytes"))
+        chain = chain.join(size, ["key", "overflow"]).withColumn("depth", F.lit(BITS))
         out = out.unionByName(chain.select(*out.columns))
     digits = F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.bin(F.call_function("shiftright", F.col("key"), F.lit(BITS) - F.col("depth"))), F.col("depth"), F.lit("0")))
     return out.select("doc_id", "bytes", F.col("depth").cast("int").alias("depth"), digits.alias("shard"), "overflow", "shard_bytes")

@@ -391,6 +391,12 @@ def test_packing_round_trip(spark, edge):
     ids = np.array([*own.encode(edge_rows()[-1][1], add_special_tokens=False).ids, 0], "<u4")
     for r in one.itertuples():
         assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    texts = {}
+    for r in [*edge_rows(), special]:
+        texts.setdefault(r[0], []).append(np.array([*own.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4"))
+    for r in rows.itertuples():
+        of = texts[None if pd.isna(r.doc_id) else int(r.doc_id)]
+        assert any(len(x) == r.doc_tokens and zlib.crc32(x[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for x in of)
 
 
 def test_packing_of_nothing(empty):
@@ -557,6 +563,24 @@ def test_sharding_of_edge_rows(edge, empty):
     assert sharding.shards(empty).count() == 0
 
 
+def test_sharding_of_one_hot_key(spark, tmp_path):
+    """5,000 rows of one id: their chain fits the limit and wastes at most half; documents come back whole."""
+    rnd = random.Random(3)
+    rows = [(7, "x" * rnd.randrange(40)) for _ in range(5000)] + [(7, "y" * 900), (7, "z" * 400), (8, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sharding.shards(docs, limit=600).collect()
+    total = Counter()
+    for r in got:
+        total[(r.shard, r.overflow)] += r.bytes
+    assert len(got) == len(rows) and all(total[(r.shard, r.overflow)] == r.shard_bytes for r in got)
+    assert all(n <= 600 or n == 900 for n in total.values()) and len(total) <= 2 + sum(map(len, (t for _, t in rows))) / 300 + 2
+    alone = spark.createDataFrame([(i, f"text {i}" * 20) for i in range(60)], "doc_id long, text string")
+    sharding.write_shards(alone, sharding.shards(alone, limit=900), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.select("doc_id", "text").collect())) == sorted(map(tuple, alone.collect()))
+    assert back.select("shard", "overflow").distinct().count() > 4
+
+
 def top_brute(rows, k):
     v = {}
     vecs = [(i, np.floor(64 * np.array(x, float)).astype(int)) for i, x in rows if i is not None and x and None not in x and np.isfinite(np.array(x, float)).all()]
