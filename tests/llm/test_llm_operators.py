@@ -669,6 +669,20 @@ def test_long_text_scores_as_short():
     assert abs(whole - plain) < 1e-3 * abs(plain)
 
 
+def test_repeated_texts_are_scored_once(monkeypatch):
+    from factloom.llm.attention import AttentionModel
+
+    rnd = np.random.default_rng(5)
+    m = AttentionModel(np.ones(2304))
+    texts = [rnd.integers(1, 2304, n) for n in (40, 3, 90)]
+    want = lm_scoring._score_texts(m, m.tables(), texts)
+    scored, plain = [], lm_scoring._score_texts
+    monkeypatch.setattr(lm_scoring, "_score_texts", lambda *a, **k: scored.append(len(a[2])) or plain(*a, **k))
+    seen = {}
+    got = [lm_scoring._score_once(m, m.tables(), [texts[i] for i in pick], None, seen) for pick in ((0, 1, 0, 0), (2, 1, 2))]
+    assert np.allclose(np.concatenate(got), want[[0, 1, 0, 0, 2, 1, 2]], rtol=1e-5) and scored == [2, 1]
+
+
 def test_lm_score_learns_from_all_training_texts(spark):
     rnd, words = random.Random(7), ["apple", "river", "stone", "cloud"]
     ordered = [" ".join(words * 20) for _ in range(300)]
