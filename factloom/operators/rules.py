@@ -125,14 +125,14 @@ def only_parameters(p: Program, config: dict) -> DataFrame:
     return _found(m, F.format_string("module variable %s is no parameter", "lname"))
 
 
-@rule("hook_calls", "serious", hooks=["dr_hook"])
+@rule("hook_calls", "serious", hooks=["region_timer"])
 def hook_calls(p: Program, config: dict) -> DataFrame:
     """Procedures call the timer first and last, with their own name as label."""
     body = p.nodes.where("depth = 0").where(~F.col("kind").isin("declaration", "import", "implicit", "comment", "pragma", "preprocessor", "contains", "interface", "typedef", "attribute", "binding"))
     w = Window.partitionBy("path", "unit")
     ends = body.withColumn("a", F.min("pre").over(w)).withColumn("z", F.max("pre").over(w)).where("pre = a or pre = z")
-    hook = F.lower("text").rlike(r"call\s+(" + "|".join(config["hooks"]) + r")\s*\(")
-    label = F.lower("text").contains(F.concat(F.lit("'"), F.element_at(F.split("unit", "/"), -1)))
+    hook = F.lower("raw").rlike(r"call\s+(" + "|".join(config["hooks"]) + r")\s*\(")
+    label = F.lower("raw").contains(F.concat(F.lit("'"), F.element_at(F.split("unit", "/"), -1)))
     seen = ends.groupBy("path", "unit").agg(F.bool_and(hook).alias("both"), F.bool_and(~hook | label).alias("named"), F.count("*").alias("n"))
     bad = p.units.where("kind in ('subroutine', 'function')").join(seen, ["path", "unit"]).where("not both or not named or n < 2")
     return _found(bad, F.when(~F.col("both") | (F.col("n") < 2), "the timer is not called first and last").otherwise("the timer's label is not the unit's name"))
@@ -164,11 +164,13 @@ def dynamic_ubound(p: Program, config: dict) -> DataFrame:
     return _found(tests.join(a, ["path", "unit", "lname"]).distinct(), F.format_string("run-time check of the shape of %s", "lname"))
 
 
-@rule("string_conversion", "serious", calls=["mpl_init", "mpl_abor1"])
-def string_conversion(p: Program, config: dict) -> DataFrame:
-    """Calls that pass text to a message routine give it as the keyword ``cdstring``."""
-    c = p.calls.where(F.col("callee").startswith("mpl_")).groupBy("path", "unit", "node", "callee").agg(F.bool_or(F.coalesce(F.col("keyword") == "cdstring", F.lit(False))).alias("has"))
-    return _found(c.where("not has").where(~F.col("callee").isin(*config["calls"])).join(p.nodes.select("path", "unit", "node", "line"), ["path", "unit", "node"]), F.format_string("no cdstring in the call of %s", "callee"))
+@rule("text_keyword", "serious", prefix="msg_", keyword="text", exempt=["msg_init", "msg_abort"])
+def text_keyword(p: Program, config: dict) -> DataFrame:
+    """Calls of a message library (a name prefix) give the caller's name by keyword."""
+    has = F.bool_or(F.coalesce(F.col("keyword") == config["keyword"], F.lit(False)))
+    c = p.calls.where(F.col("callee").startswith(config["prefix"])).groupBy("path", "unit", "node", "callee").agg(has.alias("has"))
+    bad = c.where("not has").where(~F.col("callee").isin(*config["exempt"])).join(p.nodes.select("path", "unit", "node", "line"), ["path", "unit", "node"])
+    return _found(bad, F.format_string(f"no {config['keyword']} in the call of %s", "callee"))
 
 
 @rule("unused_arguments", "info", fix=lambda config: [transform.on_procedures(transform.remove_unused_variables)])

@@ -138,17 +138,18 @@ def search_words_with_node(t):
     return t.part.select("p_partkey", F.explode(F.split(F.lower("p_type"), " ")).alias("word")).where("word <> ''")
 
 
-@query(f"""WITH {STREAM}, m AS (SELECT *, sum(CASE WHEN kind = 'signup' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS t FROM s),
-n AS (SELECT user_id, t + 1 AS t, count(*) AS notes FROM m WHERE kind = 'signup' GROUP BY ALL)
-SELECT event_id, notes FROM m JOIN n USING (user_id, t) WHERE kind = 'purchase'""")
+@query(f"""WITH {STREAM} SELECT p.event_id, count(*) AS notes FROM s p JOIN s n ON n.user_id = p.user_id AND n.ts < p.ts AND n.kind = 'signup'
+WHERE p.kind = 'purchase' AND NOT EXISTS (SELECT 1 FROM s b WHERE b.user_id = p.user_id AND b.ts > n.ts AND b.ts < p.ts AND b.kind <> 'signup') GROUP BY p.event_id""")
 def search_attached_notes(t):
     return search.attached(stream(t), "user_id", "ts", "kind", "signup", "purchase").select("event_id", "notes")
 
 
-@query(f"""WITH {STREAM}, p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS pos FROM s),
-m AS (SELECT *, sum(CASE WHEN kind = 'signup' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY ts) + CASE WHEN kind = 'error' THEN 1 ELSE 0 END AS l FROM p WHERE kind IN ('signup', 'error')),
-n AS (SELECT *, lead(kind) OVER w AS k, lead(event_id) OVER w AS e, lead(pos) OVER w AS q FROM m WINDOW w AS (PARTITION BY user_id, l ORDER BY ts))
-SELECT event_id AS first_event, e AS last_event, q - pos - 1 AS inside FROM n WHERE kind = 'signup' AND k = 'error'""")
+@query(f"""WITH {STREAM}, m AS (SELECT *, CASE kind WHEN 'signup' THEN 1 ELSE -1 END AS up FROM s WHERE kind IN ('signup', 'error')),
+ends AS (SELECT a.user_id, a.event_id AS first_event, a.ts AS x, e.event_id AS last_event, e.ts AS y, coalesce(sum(b.up), 0) AS open
+  FROM m a JOIN m e ON e.user_id = a.user_id AND e.ts > a.ts AND e.kind = 'error' LEFT JOIN m b ON b.user_id = a.user_id AND b.ts > a.ts AND b.ts < e.ts
+  WHERE a.kind = 'signup' GROUP BY ALL),
+closed AS (SELECT * FROM ends WHERE open = 0 QUALIFY row_number() OVER (PARTITION BY first_event ORDER BY y) = 1)
+SELECT first_event, last_event, (SELECT count(*) FROM s WHERE s.user_id = closed.user_id AND s.ts > x AND s.ts < y) AS inside FROM closed""")
 def search_regions(t):
     s = stream(t).withColumn("at", F.struct("ts", "event_id"))
     r = search.regions(s, "user_id", "at", "kind", "signup", "error")
@@ -335,8 +336,7 @@ def resolve_unused(t):
 # --- dataflow ---------------------------------------------------------------
 
 
-@query(f"""WITH {STREAM}, f AS (SELECT *, kind = 'click' AND row_number() OVER (PARTITION BY user_id, symbol, kind ORDER BY ts) = 1 AS first FROM s)
-SELECT event_id, coalesce(sum(first::BIGINT) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS live FROM f""")
+@query(f"""WITH {STREAM} SELECT e.event_id, count(DISTINCT w.symbol) AS live FROM s e LEFT JOIN s w ON w.user_id = e.user_id AND w.ts < e.ts AND w.kind = 'click' GROUP BY e.event_id""")
 def dataflow_live(t):
     return dataflow.live_counts(stream(t), "user_id", "ts", "symbol", write_()).select("event_id", "live")
 
@@ -501,8 +501,9 @@ def rewrite_flat_index(t):
     return e.select("vec_id", (rewrite.flattened([F.col("r"), F.col("c")], [8, 8]) - 1).alias("pos"), "r", "c", "value")
 
 
-@query("""WITH o AS (SELECT *, o_orderstatus IS DISTINCT FROM lag(o_orderstatus) OVER w OR row_number() OVER w = 1 AS c FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
-g AS (SELECT *, sum(c::INT) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS g FROM o) SELECT o_custkey, o_orderstatus, min(o_orderkey) AS first, count(*) AS n FROM g GROUP BY o_custkey, g, o_orderstatus""")
+@query(f"""WITH f AS (SELECT * FROM orders o WHERE (SELECT arg_max(p.o_orderstatus, p.o_orderkey) FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderkey < o.o_orderkey) IS DISTINCT FROM o.o_orderstatus)
+SELECT f.o_custkey, f.o_orderstatus, f.o_orderkey AS first, count(*) AS n FROM f JOIN orders o ON o.o_custkey = f.o_custkey AND o.o_orderkey >= f.o_orderkey
+WHERE NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = f.o_custkey AND b.o_orderkey > f.o_orderkey AND b.o_orderkey <= o.o_orderkey AND b.o_orderstatus <> f.o_orderstatus) GROUP BY ALL""")
 def rewrite_fusion(t):
     return rewrite.fused(t.orders.select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey", ["o_orderstatus"])
 

@@ -426,6 +426,15 @@ def test_rules(spark, prog):
     assert "ubound(w, 1) < 3) stop" in fixed.text.split("subroutine k")[1] and fixed.error is None
     raw = rules.fix(spark.createDataFrame([("r", "if (a.eq.b) x = 'a .eq. b' ! .eq.\nc = a .GE. b\n")], "path string, text string"), ["old_operators"]).collect()[0]
     assert raw.text == "if (a == b) x = 'a .eq. b' ! .eq.\nc = a >= b\n"
+    timed = "module t\nimplicit none\ncontains\nsubroutine good\nif (on) call region_timer('GOOD', 0)\nx = 1\nif (on) call region_timer('GOOD', 1)\nend subroutine\nsubroutine bad\ncall region_timer('good', 0)\nx = 1\ncall region_timer('good', 1)\nend subroutine\nsubroutine none\nx = 1\ncall msg_send(x)\ncall msg_send(x, text='n')\nend subroutine\nend module"
+    tp = facts.program(spark.createDataFrame([("t.F90", timed)], "path string, text string"))
+    assert got(rules.lint(tp, ["hook_calls"]), "unit", "message") == [("t/bad", "the timer's label is not the unit's name"), ("t/none", "the timer is not called first and last")]
+    assert got(rules.lint(tp, ["text_keyword"]), "unit", "line") == [("t/none", 16)] and got(rules.lint(tp, ["module_naming"]), "message") == [("the name of a module ends in _mod",)]
+    root = parse_source(timed)
+    t.on_procedures(lambda u: t.rename_hook_labels(u, "_x"))(root)
+    assert "call region_timer('GOOD_x', 0)" in codegen.fortran(root)
+    t.on_procedures(lambda u: t.rename_hook_labels(u, "", remove=True))(root)
+    assert "region_timer" not in codegen.fortran(root)
     suites = {r.path: r.suite for r in rules.junit(rules.lint(p, ["dynamic_ubound"]), files.union(spark.createDataFrame([("ok", "")], files.schema))).collect()}
     assert 'failures="1"' in suites["t.F90"] and 'failures="0"' in suites["ok"]
     assert rules.disable_lists(rules.lint(p, ["argument_sizes"])).collect()[0].entry.startswith("t.F90:\n  rules:\n    argument_sizes:\n      - ")
