@@ -525,6 +525,7 @@ READ = {  # the tables that a query of generated sources parses
     "program_call_pairs": "units calls",
     "program_literals": "exprs",
     "program_argument_modes": "units",
+    "program_dead_code": "nodes",
 }
 
 
