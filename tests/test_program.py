@@ -528,6 +528,7 @@ READ = {  # the tables that a query of generated sources parses
     "program_dead_code": "nodes",
     "program_dependencies": "units calls imports symbols bindings nodes",
     "program_symbols": "symbols",
+    "program_units": "units",
 }
 
 
