@@ -529,6 +529,7 @@ READ = {  # the tables that a query of generated sources parses
     "program_dependencies": "units calls imports symbols bindings nodes",
     "program_symbols": "symbols",
     "program_units": "units",
+    "program_unused_variables": "symbols",
 }
 
 
