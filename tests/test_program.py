@@ -530,6 +530,7 @@ READ = {  # the tables that a query of generated sources parses
     "program_symbols": "symbols",
     "program_units": "units",
     "program_unused_variables": "symbols",
+    "program_vector_loops": "nodes symbols",
 }
 
 
