@@ -536,6 +536,7 @@ READ = {  # the tables that a query of generated sources parses
     "program_local_arrays": "symbols exprs",
     "program_nodes": "nodes",
     "program_resolved_calls": "units calls imports symbols bindings",
+    "program_plan": "units bindings nodes",
 }
 
 
