@@ -538,6 +538,7 @@ READ = {  # the tables that a query of generated sources parses
     "program_resolved_calls": "units calls imports symbols bindings",
     "program_plan": "units bindings nodes",
     "program_rule_interfaces": "units calls imports symbols bindings nodes",
+    "program_status": "nodes",
 }
 
 
