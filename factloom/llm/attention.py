@@ -66,23 +66,6 @@ class AttentionModel:
             "U": normal(SIDE, WIDTH, SIDE, scale=0.05), "u": np.log(f / f.sum(1, keepdims=True)).astype(np.float32),
         }
 
-    def _attend(self, keys: np.ndarray) -> tuple:
-        p, b = self.p, len(keys)
-        q, k, v = p["E"] @ p["Q"] / np.float32(np.sqrt(HEAD)), p["E"] @ p["K"], p["E"] @ p["V"]
-        qs = q[keys[:, CONTEXT:]].reshape(b, STRIDE, HEADS, HEAD).transpose(0, 2, 1, 3)
-        ks = k[keys].reshape(b, SPAN, HEADS, HEAD).transpose(0, 2, 3, 1)
-        vs = v[keys].reshape(b, SPAN, HEADS, HEAD).transpose(0, 2, 1, 3)
-        s = qs @ ks
-        bias = self.p["R"][:, _BACK0]
-        bias[:, _FUTURE] = -1e9
-        s += bias[None]
-        s += np.where(keys == PAD, np.float32(-1e9), np.float32(0))[:, None, None, :]
-        s -= s.max(-1, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
-        o = (s @ vs).transpose(0, 2, 1, 3).reshape(b, STRIDE, WIDTH)
-        return qs, ks, vs, s, o
-
     def tables(self):
         """By head: queries, keys, values and position biases of all ids.
 
@@ -115,24 +98,24 @@ class AttentionModel:
         query = keys[:, CONTEXT:]
         o = np.empty((b, STRIDE, WIDTH), np.float32)
         for h, (q, k, v, bias) in enumerate(tables):
-            s = q[query] @ k[keys].transpose(0, 2, 1)
+            s = q.take(query, 0) @ k.take(keys, 0).transpose(0, 2, 1)
             s += bias
             if shift:
                 s -= s.max(-1, keepdims=True)
             np.exp(s, out=s)
-            found = s @ v[keys]
+            found = s @ v.take(keys, 0)
             np.divide(found[:, :, :HEAD], found[:, :, HEAD:], out=o[:, :, h * HEAD : (h + 1) * HEAD])
         h, query = o.reshape(-1, WIDTH) @ p["O"], query.ravel()
         if len(live) < targets.size:
-            h, query = h[live], query[live]
-        h += p["E"][query]
+            h, query = h.take(live, 0), query[live]
+        h += p["E"].take(query, 0)
         inner = h @ p["W1"]
         inner += p["b1"]
         np.maximum(inner, 0, out=inner)
         h += inner @ p["W2"]
         group, item = (goal // SIDE).astype(np.int16), goal % SIDE
         order = np.argsort(group, kind="stable")
-        h, group, item = h[order], group[order], item[order]
+        h, group, item = h.take(order, 0), group[order], item[order]
         edge = np.searchsorted(group, np.arange(SIDE + 1))
         z = h @ p["C"]
         z += p["c"]
@@ -157,65 +140,136 @@ class AttentionModel:
 
     def gradients(self, keys: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """(mean loss, gradient of each parameter) of one batch."""
+        own, g = self.learn(keys, targets)
+        return -own.sum(dtype=np.float64) / max(1, (targets >= 0).sum()), g
+
+    def learn(self, keys: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """(natural log probability of each target, gradient of their negative mean); shifted only where an exponential overflows."""
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            own, g = self._learn(keys, targets, False)
+        return (own, g) if np.isfinite(own).all() and all(np.isfinite(x).all() for x in g.values()) else self._learn(keys, targets, True)
+
+    def _learn(self, keys: np.ndarray, targets: np.ndarray, shift: bool) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         p, b = self.p, len(keys)
-        qs, ks, vs, s, o = self._attend(keys)
+        kind = p["E"].dtype
         live = np.flatnonzero(targets.ravel() >= 0)
         goal, n = targets.ravel()[live], len(live)
-        query = keys[:, CONTEXT:].ravel()
-        h = p["E"][query[live]] + o.reshape(-1, WIDTH)[live] @ p["O"]
-        pre = h @ p["W1"] + p["b1"]
-        a = np.maximum(pre, 0)
-        h2 = h + a @ p["W2"]
+        order = np.argsort((goal // SIDE).astype(np.int16), kind="stable")
+        live, goal = live[order], goal[order]
         group, item = goal // SIDE, goal % SIDE
+        edge = np.searchsorted(group, np.arange(SIDE + 1))
+        query = keys[:, CONTEXT:]
+        o, kept = np.empty((b, STRIDE, WIDTH), kind), []
+        for h, (q, k, v, bias) in enumerate(self.tables()):
+            qs, ks, vs = q.take(query, 0), k.take(keys, 0), v.take(keys, 0)
+            s = qs @ ks.transpose(0, 2, 1)
+            s += bias
+            if shift:
+                s -= s.max(-1, keepdims=True)
+            np.exp(s, out=s)
+            found = s @ vs
+            np.divide(found[:, :, :HEAD], found[:, :, HEAD:], out=o[:, :, h * HEAD : (h + 1) * HEAD])
+            kept.append((qs, ks, vs, s, found[:, :, HEAD:]))
+        flat = o.reshape(-1, WIDTH)
+        seen, before = flat.take(live, 0), query.ravel()[live]
+        h = seen @ p["O"]
+        h += p["E"].take(before, 0)
+        inner = h @ p["W1"]
+        inner += p["b1"]
+        np.maximum(inner, 0, out=inner)
+        h2 = inner @ p["W2"]
+        h2 += h
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        z = h2 @ p["C"] + p["c"]
-        z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        loss = -np.log(z[np.arange(n), group] + 1e-30).sum()
-        z[np.arange(n), group] -= 1
+        z = h2 @ p["C"]
+        z += p["c"]
+        out = self._share_error(z, group, shift)
         g["C"], g["c"] = h2.T @ z, z.sum(0)
-        dh2 = z @ p["C"].T
-        order = np.argsort(group, kind="stable")
-        edge = np.searchsorted(group[order], np.arange(SIDE + 1))
+        dh = z @ p["C"].T
         for k in range(SIDE):
-            at = order[edge[k] : edge[k + 1]]
-            if len(at):
-                z = h2[at] @ p["U"][k] + p["u"][k]
-                z -= z.max(1, keepdims=True)
-                np.exp(z, out=z)
-                z /= z.sum(1, keepdims=True)
-                loss -= np.log(z[np.arange(len(at)), item[at]] + 1e-30).sum()
-                z[np.arange(len(at)), item[at]] -= 1
-                g["U"][k], g["u"][k] = h2[at].T @ z, z.sum(0)
-                dh2[at] += z @ p["U"][k].T
-        da = (dh2 @ p["W2"].T) * (pre > 0)
-        g["W2"], g["W1"], g["b1"] = a.T @ dh2, h.T @ da, da.sum(0)
-        dh = np.zeros((b * STRIDE, WIDTH), np.float32)
-        dh[live] = dh2 + da @ p["W1"].T
-        g["O"] = o.reshape(-1, WIDTH).T @ dh
-        do = (dh @ p["O"].T).reshape(b, STRIDE, HEADS, HEAD).transpose(0, 2, 1, 3)
-        dv = s.transpose(0, 1, 3, 2) @ do
-        ds = do @ vs.transpose(0, 1, 3, 2)
-        ds = s * (ds - (ds * s).sum(-1, keepdims=True))
-        for k in range(HEADS):
-            g["R"][k] = np.bincount(_BACK0.ravel(), np.where(_FUTURE, 0, ds[:, k].sum(0)).ravel(), SPAN)
-        dq = (ds @ ks.transpose(0, 1, 3, 2)).transpose(0, 2, 1, 3).reshape(-1, WIDTH) / np.float32(np.sqrt(HEAD))
-        dk = (ds.transpose(0, 1, 3, 2) @ qs).transpose(0, 2, 1, 3).reshape(-1, WIDTH)
-        dv = dv.transpose(0, 2, 1, 3).reshape(-1, WIDTH)
-        flat = keys.ravel()
-        x, xq = p["E"][flat], p["E"][query]
-        g["Q"], g["K"], g["V"] = xq.T @ dq, x.T @ dk, x.T @ dv
-        np.add.at(g["E"], flat, dk @ p["K"].T + dv @ p["V"].T)
-        np.add.at(g["E"], query, dh + dq @ p["Q"].T)
+            a, e = edge[k], edge[k + 1]
+            if e > a:
+                np.matmul(h2[a:e], p["U"][k], out=z[a:e])
+                z[a:e] += p["u"][k]
+        out += self._share_error(z, item, shift)
+        for k in range(SIDE):
+            a, e = edge[k], edge[k + 1]
+            if e > a:
+                g["U"][k], g["u"][k] = h2[a:e].T @ z[a:e], z[a:e].sum(0)
+                dh[a:e] += z[a:e] @ p["U"][k].T
+        da = dh @ p["W2"].T
+        da *= inner > 0
+        g["W2"], g["W1"], g["b1"] = inner.T @ dh, h.T @ da, da.sum(0)
+        dh += da @ p["W1"].T
+        g["O"] = seen.T @ dh
+        g["E"] += self._by_id(before, dh)
+        do = np.zeros((b * STRIDE, WIDTH), kind)
+        do[live] = dh @ p["O"].T
+        do, order = do.reshape(b, STRIDE, WIDTH), np.argsort(keys.ravel().astype(np.int16), kind="stable")
+        back = np.empty((b, SPAN, HEADS, 2 * HEAD), kind)
+        asked = np.empty((b, STRIDE, HEADS, HEAD), kind)
+        for h, (qs, ks, vs, s, total) in enumerate(kept):
+            own = slice(h * HEAD, (h + 1) * HEAD)
+            d = np.empty((b, STRIDE, HEAD + 1), kind)  # of the weighted sums and of the sum of weights
+            np.divide(do[:, :, own], total, out=d[:, :, :HEAD])
+            np.einsum("btw,btw->bt", d[:, :, :HEAD], o[:, :, own], out=d[:, :, HEAD])
+            np.negative(d[:, :, HEAD], out=d[:, :, HEAD])
+            back[:, :, h, HEAD:] = (s.transpose(0, 2, 1) @ d)[:, :, :HEAD]
+            ds = d @ vs.transpose(0, 2, 1)
+            ds *= s
+            g["R"][h] = np.bincount(_BACK0.ravel(), np.where(_FUTURE, 0, ds.sum(0)).ravel(), SPAN)
+            asked[:, :, h] = ds @ ks
+            back[:, :, h, :HEAD] = ds.transpose(0, 2, 1) @ qs
+        back = self._by_id(keys.ravel(), back.reshape(-1, HEADS * 2 * HEAD), order).reshape(-1, HEADS, 2 * HEAD)
+        back[PAD] = 0
+        asked = self._by_id(query.ravel(), asked.reshape(-1, WIDTH)) / kind.type(np.sqrt(HEAD))
+        dk, dv = (np.ascontiguousarray(back[:, :, a : a + HEAD]).reshape(-1, WIDTH) for a in (0, HEAD))
+        for k, d in (("Q", asked), ("K", dk), ("V", dv)):
+            g[k] = p["E"].T @ d
+            g["E"] += d @ p[k].T
         g["E"][PAD] = 0
-        return loss / n, {k: v / n for k, v in g.items()}
+        full = np.zeros(targets.size, kind)
+        full[live] = out
+        return full.reshape(targets.shape), {k: v / kind.type(max(1, n)) for k, v in g.items()}
+
+    @staticmethod
+    def _share_error(z: np.ndarray, pick: np.ndarray, shift: bool) -> np.ndarray:
+        """Log shares of the picked columns; ``z`` becomes the gradient of their negative sum."""
+        if shift:
+            z -= z.max(1, keepdims=True)
+        at = np.arange(len(z))
+        out = z[at, pick]
+        np.exp(z, out=z)
+        total = z @ np.ones(SIDE, z.dtype)
+        z /= total[:, None]
+        z[at, pick] -= 1
+        return out - np.log(total)
+
+    @staticmethod
+    def _by_id(ids: np.ndarray, rows: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+        """Sums of ``rows`` by id."""
+        order = np.argsort(ids.astype(np.int16), kind="stable") if order is None else order
+        out = np.zeros((IDS + 1, rows.shape[1]), rows.dtype)
+        if len(ids):
+            ids = ids[order]
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            out[ids[first]] = np.add.reduceat(rows.take(order, 0), first, axis=0)
+        return out
+
+    def vector(self) -> np.ndarray:
+        """All parameters one after another."""
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+
+    def take(self, vector: np.ndarray) -> None:
+        """Parameters from what ``vector`` returned."""
+        at = 0
+        for k in sorted(self.p):
+            shape, size = self.p[k].shape, self.p[k].size
+            self.p[k] = vector[at : at + size].reshape(shape).astype(np.float32)
+            at += size
 
     def train(self, keys: np.ndarray, targets: np.ndarray, steps: int, batch: int, rate: float = 1e-2, seed: int = 5) -> list[float]:
         """Adam with a falling rate; the losses."""
-        draw, losses = np.random.default_rng(seed), []
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
+        draw, losses, descent = np.random.default_rng(seed), [], Descent(self)
         order = np.zeros(0, np.int64)
         for step in range(1, steps + 1):
             if len(order) < batch:
@@ -223,9 +277,33 @@ class AttentionModel:
             at, order = order[:batch], order[batch:]
             loss, g = self.gradients(keys[at].astype(np.int64), targets[at].astype(np.int64))
             losses.append(float(loss))
-            lr = rate * min(1.0, step / 50) * (0.03 + 0.97 * (1 - step / steps))
-            for k, x in g.items():
-                m[k] += 0.1 * (x - m[k])
-                v[k] += 0.01 * (x * x - v[k])
-                self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            descent.step(g, rate * min(1.0, step / 50) * (0.03 + 0.97 * (1 - step / steps)))
         return losses
+
+
+class Descent:
+    """Adam on the parameters of a model, which become parts of one array."""
+
+    def __init__(self, model: AttentionModel):
+        self.all = model.vector().astype(np.float32)
+        at = 0
+        for k in sorted(model.p):
+            model.p[k] = self.all[at : at + model.p[k].size].reshape(model.p[k].shape)
+            at += model.p[k].size
+        self.m, self.v, self.steps = np.zeros_like(self.all), np.zeros_like(self.all), 0
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.steps += 1
+        x = np.concatenate([g[k].ravel() for k in sorted(g)]).astype(np.float32, copy=False)
+        self.m *= np.float32(0.9)
+        self.m += np.float32(0.1) * x
+        x *= x
+        x *= np.float32(0.01)
+        self.v *= np.float32(0.99)
+        self.v += x
+        np.sqrt(self.v, out=x)
+        x *= np.float32(1 / np.sqrt(1 - 0.99**self.steps))
+        x += np.float32(1e-8)
+        np.divide(self.m, x, out=x)
+        x *= np.float32(rate / (1 - 0.9**self.steps))
+        self.all -= x

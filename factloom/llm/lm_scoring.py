@@ -10,10 +10,16 @@ One pass over the whole training part writes the texts' ids, and partial counts
 of words (64-bit hashes) and of ids.  From the written ids come the counts of
 all pairs of neighbouring model ids.  ``score`` mixes the attention output with
 the pair counts: a pair's share of the mixture follows how often its first id
-was seen, with weights fitted on windows that the attention was not trained on.
-The attention's own weights are fitted on the driver, on about ``attention_windows``
-windows drawn by a hash from all windows of the training part, long texts
-included; what grows with the input is the pair counts.
+was seen.
+
+The attention learns from every window of the training part.  It starts from
+weights that the driver fits on about ``attention_windows`` windows, drawn by a
+hash.  Then each task descends from that start over all windows of its texts,
+each window once, and the model is the mean of what the tasks arrive at, by
+their windows; so it follows in part how texts are dealt to tasks.  The shares
+of the mixture come from the same pass: from how attention and pair counts
+foresaw each window, before the task learned from it, of those that the start
+had not seen.
 Counts of the most frequent words (at most ``HEAVY``) go to every task; the
 rest of a text's words meet their counts in a join, where no key has more rows
 than the count at which ``HEAVY`` cuts.
@@ -24,6 +30,7 @@ never held out.  Repeated rows are scored each; other columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import math
 import re
 import zlib
@@ -36,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .attention import CONTEXT, IDS, SPAN, STRIDE, AttentionModel, windows
+from .attention import CONTEXT, IDS, SPAN, STRIDE, AttentionModel, Descent, windows
 from .kernel import _LOWER, mix, text_words
 from .storage import discard, materialize
 from .subwords import default_ranks, encode, encoder
@@ -226,36 +233,45 @@ class PairMixture:
 
     SMOOTH = 8.0
     SIZES = 64
+    #: Steps of the ratio of two probabilities, and how many make one natural logarithm.
+    STEPS, FINE = 256, 8
 
     def __init__(self, pairs: np.ndarray, counts: np.ndarray, frequencies: np.ndarray):
-        table = np.zeros(IDS * IDS)
+        table = np.zeros(IDS * IDS, np.float32)
         table[pairs] = counts
         table = table.reshape(IDS, IDS)
-        self.before = table.sum(1)
+        self.before = table.sum(1, dtype=np.float64)
         self.size = np.floor(np.log2(self.before + 1)).astype(int)
         self.base = (frequencies + 0.5) / (frequencies + 0.5).sum()
         self.table = table
         self.weight = np.full(self.SIZES, 0.5)
 
-    def fit(self, keys: np.ndarray, targets: np.ndarray, own: np.ndarray, rounds: int = 20) -> None:
-        """EM for the weights on windows that are among the counts: each target is left out of its own count."""
+    def seen(self, keys: np.ndarray, targets: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Counts of targets by the size of the id before and by how much likelier pairs made them than ``own``, the attention's log probabilities.
+
+        The windows are among the counts: each target is left out of its own count.
+        """
         live = targets.ravel() >= 0
-        before, goal = keys[:, CONTEXT:].ravel()[live].astype(np.int64), targets.ravel()[live].astype(np.int64)
-        n = np.maximum(self.table[before, goal] - 1, 0)
+        before, goal = keys[:, CONTEXT:].ravel()[live], targets.ravel()[live]
+        n = np.maximum(self.table.ravel()[before * IDS + goal] - 1, 0)
         pair = (n + self.SMOOTH * self.base[goal]) / (np.maximum(self.before[before] - 1, 0) + self.SMOOTH)
-        attention, size = np.exp(own.ravel()[live].astype(np.float64)), self.size[before]
-        seen = np.bincount(size, minlength=self.SIZES)
+        ratio = (np.log(pair) - own.ravel()[live]) * self.FINE + self.STEPS / 2
+        return np.bincount(self.size[before] * self.STEPS + np.clip(np.rint(ratio), 0, self.STEPS - 1).astype(np.int64), minlength=self.SIZES * self.STEPS)
+
+    def fit(self, seen: np.ndarray, rounds: int = 20) -> None:
+        """EM for the weights on sums of ``seen``."""
+        seen, ratio = seen.reshape(self.SIZES, self.STEPS), np.exp((np.arange(self.STEPS) - self.STEPS / 2) / self.FINE)
         for _ in range(rounds):
-            w = self.weight[size]
-            taken = w * pair / (w * pair + (1 - w) * attention)
-            self.weight = (np.bincount(size, taken, self.SIZES) + 0.5) / (seen + 1)  # sizes never met keep one half
+            w = self.weight[:, None] * ratio
+            taken = seen * (w / (w + 1 - self.weight[:, None]))
+            self.weight = (taken.sum(1) + 0.5) / (seen.sum(1) + 1)  # sizes never met keep one half
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """(weight of the attention by id before, weighted pair probabilities); both float32."""
         w = self.weight[self.size]
         out = self.table
-        out += self.SMOOTH * self.base
-        out *= (w / (self.before + self.SMOOTH))[:, None]
+        out += (self.SMOOTH * self.base).astype(np.float32)
+        out *= (w / (self.before + self.SMOOTH)).astype(np.float32)[:, None]
         self.table = None
         return (1 - w).astype(np.float32), out.astype(np.float32).ravel()
 
@@ -271,21 +287,23 @@ def mixed_log_probs(model: AttentionModel, keys: np.ndarray, targets: np.ndarray
     return np.where(live, np.log(keep[np.where(live, before, 0)] * np.exp(own) + pair[at]), np.float32(0))
 
 
+def _drawn(rows: pa.Array, share: float):
+    """Whether a window, by its text's place in ``rows`` (ids) and its own place in the text, is of the share that is drawn."""
+    least = np.uint64(min(share, 1.0) * (2**64 - 2**11))
+    own = mix(np.array([zlib.crc32(x) for x in rows.to_pylist()], np.uint64))
+    return lambda text, block: mix(own[text] + mix(block.astype(np.uint64) + np.uint64(8))) <= least
+
+
 def sample_windows(texts: DataFrame, shipped, share: float) -> tuple[np.ndarray, np.ndarray]:
     """A share of all windows of ``texts`` (ids), drawn by a hash of a text's ids and the window's place."""
 
     def run(batches):
-        vocabulary, least = shipped.value, np.uint64(min(share, 1.0) * (2**64 - 2**11))
+        vocabulary = shipped.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows = batch.column(0).slice(at, 512)
-                own = mix(np.array([zlib.crc32(x) for x in rows.to_pylist()], np.uint64))
-
-                def place(text, block, own=own):
-                    return mix(own[text] + mix(block.astype(np.uint64) + np.uint64(8)))
-
                 ids, counts = _model_ids(rows, vocabulary)
-                keys, targets, text = windows(ids, counts, lambda text, block: place(text, block) <= least)
+                keys, targets, text = windows(ids, counts, _drawn(rows, share))
                 if len(text):
                     yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i2").tobytes()], pa.binary()) for x in (keys, targets)], ["k", "t"])
 
@@ -296,6 +314,92 @@ def sample_windows(texts: DataFrame, shipped, share: float) -> tuple[np.ndarray,
     return keys[order], targets[order]
 
 
+def all_windows(batches, vocabulary: Vocabulary, share: float, most: int = 1 << 14):
+    """(keys, targets, whether drawn by ``share``) of every window of the texts (ids), at most ``most`` at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            rows = batch.column(0).slice(at, 512)
+            ids, counts = _model_ids(rows, vocabulary)
+            drawn, edge = _drawn(rows, share), np.r_[0, np.cumsum(counts)]
+            blocks = np.cumsum((counts + STRIDE - 1) // STRIDE)
+            first = 0
+            while first < len(counts):
+                done = blocks[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(blocks, done + most, "right")))
+                for begin in range(0, int(blocks[last - 1] - done), most):  # more than one range only where one text has more windows
+                    picked = []
+
+                    def pick(text, block, first=first, begin=begin, picked=picked):
+                        place = np.arange(len(text))
+                        own = (place >= begin) & (place < begin + most)
+                        picked.append(drawn(text[own] + first, block[own]))
+                        return own
+
+                    keys, targets, _ = windows(ids[edge[first] : edge[last]], counts[first:last], pick)
+                    yield keys.astype(np.int16), targets.astype(np.int16), picked[0]
+                first = last
+
+
+def descend(texts: DataFrame, shipped, share: float, batch: int, expected: float, rate: float = 3e-3, pool: int = 1 << 14) -> tuple[np.ndarray, np.ndarray] | None:
+    """(mean of the parameters that the tasks arrive at, sum of ``PairMixture.seen``) over all windows of ``texts`` (ids); None without one.
+
+    A task learns from each of its windows once, mixed in pools of about ``pool`` windows, at a rate that falls over
+    about ``expected`` windows.  Models are written, a row a task, and summed by about as many tasks as each sums rows.
+    """
+
+    def run(batches):
+        start, vocabulary, mixture = shipped.value
+        model, draw = copy.deepcopy(start), np.random.default_rng(TaskContext.get().partitionId())
+        descent, seen, done = Descent(model), np.zeros(mixture.SIZES * mixture.STEPS, np.int64), 0
+
+        def learn(held, rest):
+            nonlocal done, seen
+            keys, targets, drawn = (np.concatenate(x) for x in zip(*held))
+            order = draw.permutation(len(keys))
+            cut = len(order) - len(order) % batch if rest else len(order)
+            for at in range(0, cut, batch):
+                own = order[at : min(at + batch, cut)]
+                k, t, new = keys[own].astype(np.int64), targets[own].astype(np.int64), ~drawn[own]
+                got, g = model.learn(k, t)
+                seen += mixture.seen(k[new], t[new], got[new])
+                done += len(own)
+                descent.step(g, rate * min(1.0, (descent.steps + 1) / 20) * max(0.03, 1 - done / expected))
+            left = order[cut:]
+            return [(keys[left], targets[left], drawn[left])], len(left)
+
+        held, size = [], 0
+        for found in all_windows(batches, vocabulary, share):
+            held.append(found)
+            size += len(found[0])
+            if size >= pool:
+                held, size = learn(held, True)
+        if size:
+            learn(held, False)
+        if done:
+            yield row(done, descent.all.astype(np.float64) * done, seen)
+
+    def row(n, total, seen):
+        return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["n", "model", "seen"])
+
+    def added(batches):
+        n, total, seen = 0, 0, 0
+        for b in batches:
+            for k, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                n, total, seen = n + k, total + np.frombuffer(x), seen + np.frombuffer(y, np.int64)
+        if n:
+            yield row(n, total, seen)
+
+    kind = "n long, model binary, seen binary"
+    models = materialize(texts.mapInArrow(run, kind), "models")
+    tasks = models.count()
+    sums = list(added(models.coalesce(math.isqrt(tasks) + 1).mapInArrow(added, kind).toArrow().to_batches()))
+    discard(models)
+    if not sums:
+        return None
+    n, total, seen = (c.to_pylist()[0] for c in sums[0].columns)
+    return np.frombuffer(total) / n, np.frombuffer(seen, np.int64)
+
+
 def _score_texts(model: AttentionModel, tables, ids: list[np.ndarray], batch: int = 128, mixture=None) -> np.ndarray:
     """log10 probability of each text, in batches of windows that may hold several texts."""
     out = np.zeros(len(ids))
@@ -333,8 +437,11 @@ def _score_once(model: AttentionModel, tables, ids: list[np.ndarray], mixture, s
     return np.array([seen[k] for k in keys])
 
 
-def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", attention_windows: int = 1 << 17, steps: int = 1500, batch: int = 64, ranks_path: str | None = None) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); ``held_out`` is a condition on ``doc_id``."""
+def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", attention_windows: int = 1 << 17, steps: int = 1500, batch: int = 64, ranks_path: str | None = None, whole: bool = True) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); ``held_out`` is a condition on ``doc_id``.
+
+    Without ``whole`` the model stays at its start, for callers that do not keep ``score``.
+    """
     path, spark = ranks_path or default_ranks(), docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     train = materialize(encoded(rows.where(~F.col("held_out")).select("text"), path), "encoded")
@@ -361,16 +468,20 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     mixture = PairMixture(pairs.column("pair").to_numpy(), pairs.column("n").to_numpy(), vocabulary.counts)
     del pairs
     there = sum(sums.values()) / STRIDE + (ends["c"] if ends else 0)  # windows in the training part, or a few less
-    keys, targets = sample_windows(texts, coder, attention_windows / max(1, there))
-    discard(train)
+    share = min(attention_windows / max(1, there), 0.9)  # some are left that the start has not seen
+    keys, targets = sample_windows(texts, coder, share)
     model = AttentionModel(vocabulary.counts)
     if len(keys):
-        kept_out = np.arange(len(keys)) % 10 == 0 if len(keys) > 20 else np.zeros(len(keys), bool)
-        model.train(keys[~kept_out], targets[~kept_out], steps, batch)
-        at = np.flatnonzero(kept_out if kept_out.any() else ~kept_out)
-        at = at[np.linspace(0, len(at) - 1, min(len(at), 4096)).astype(int)]  # enough for one weight a size
-        k, t, own = keys[at].astype(np.int64), targets[at].astype(np.int64), model.tables()
-        mixture.fit(k, t, np.concatenate([model.log_probs(k[i : i + 128], t[i : i + 128], own) for i in range(0, len(k), 128)]))
+        model.train(keys, targets, steps, batch)
+    del keys, targets
+    tasks = max(1, min(int(there) >> 14, texts.rdd.getNumPartitions()))  # a task has windows enough to learn from
+    start = spark.sparkContext.broadcast((model, vocabulary, mixture))
+    found = descend(texts.coalesce(tasks), start, share, 4 * batch, there / tasks) if whole else None
+    discard(train)
+    start.unpersist()
+    if found:
+        model.take(found[0])
+        mixture.fit(found[1])
     shipped = spark.sparkContext.broadcast((model, vocabulary, mixture.tables()))
 
     def run(batches):

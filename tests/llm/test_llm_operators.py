@@ -695,6 +695,52 @@ def test_lm_score_learns_from_all_training_texts(spark):
     assert found[0] > found[1] + 10
 
 
+def test_attention_learns_from_all_training_windows(spark):
+    """What follows "stone" depends on the word before it, which pair counts do not tell; no window is drawn for the start."""
+    rnd, whole, swapped = random.Random(8), ["apple stone cloud", "river stone light"], ["apple stone light", "river stone cloud"]
+    train = [" ".join(rnd.choice(whole) for _ in range(40)) for _ in range(400)]
+    rows = spark.createDataFrame([(0, " ".join(whole * 20)), (-1, " ".join(swapped * 20)), *((i + 1, t) for i, t in enumerate(train))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.score_texts(rows, F.col("doc_id") <= 0, attention_windows=1, steps=1, batch=1).where("doc_id <= 0").collect()}
+    assert got[0] > got[-1] + 10
+
+
+def test_every_window_is_learned_from_once():
+    """Windows in ranges, of texts longer and shorter than one, are those of all texts at once."""
+    import pyarrow as pa
+
+    rnd, path = np.random.default_rng(4), subwords.default_ranks()
+    vocabulary = lm_scoring.Vocabulary({int(i): 9 for i in range(300, 1500)}, path)
+    texts = [rnd.integers(300, 1500, n).astype("<u2").tobytes() for n in (5, 0, 700, 33, 64, 1, 400, 20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["ids"])
+    want = lm_scoring.windows(*lm_scoring._model_ids(batch.column(0), vocabulary), None)
+    drawn = lm_scoring.windows(*lm_scoring._model_ids(batch.column(0), vocabulary), lm_scoring._drawn(batch.column(0), 0.4))
+    for most in (3, 1 << 14):
+        parts = list(lm_scoring.all_windows([batch], vocabulary, 0.4, most))
+        keys, targets, own = (np.concatenate(x) for x in zip(*parts))
+        assert (keys == want[0]).all() and (targets == want[1]).all() and max(len(x[0]) for x in parts) <= most
+        assert (keys[own] == drawn[0]).all() and (targets[own] == drawn[1]).all() and 0 < own.sum() < len(own)
+
+
+def test_mixture_weights_follow_the_likelier_side():
+    """Weights from steps of the ratio equal those by EM over the targets one by one."""
+    from factloom.llm.attention import CONTEXT, IDS
+
+    rnd = np.random.default_rng(2)
+    keys, targets, _ = lm_scoring.windows(rnd.integers(1, 9, 4000), np.array([4000]))
+    before = keys[:, CONTEXT:].ravel()
+    pairs, counts = np.unique(before * IDS + targets.ravel(), return_counts=True)
+    frequencies = np.bincount(targets.ravel(), minlength=IDS)
+    own = np.log(rnd.uniform(0.02, 0.4, targets.shape))
+    m = lm_scoring.PairMixture(pairs, counts, frequencies)
+    m.fit(m.seen(keys, targets, own))
+    n, size, w = m.table[before, targets.ravel()] - 1, m.size[before], np.full(m.SIZES, 0.5)
+    pair = (n + m.SMOOTH * m.base[targets.ravel()]) / (m.before[before] - 1 + m.SMOOTH)
+    for _ in range(20):
+        taken = w[size] * pair / (w[size] * pair + (1 - w[size]) * np.exp(own.ravel()))
+        w = (np.bincount(size, taken, m.SIZES) + 0.5) / (np.bincount(size, minlength=m.SIZES) + 1)
+    assert np.abs(m.weight - w).max() < 0.01
+
+
 def test_words_are_encoded_once_and_alike():
     """Ids by the words' table, cleared on the way, equal those of each word on its own; white space beyond ASCII too."""
     import pyarrow as pa
