@@ -8,18 +8,15 @@ a probability.  A task encodes a distinct word once and looks it up by its
 
 One pass over the whole training part writes the texts' ids, and partial counts
 of words (64-bit hashes) and of ids.  From the written ids come the counts of
-all pairs of neighbouring model ids.  ``score`` mixes the attention output with
-the pair counts: a pair's share of the mixture follows how often its first id
-was seen.
+all pairs of neighbouring model ids.  The attention's output starts from the
+smoothed pair counts, so it has to learn only what the ids further back add.
 
 The attention learns from every window of the training part.  It starts from
 weights that the driver fits on about ``attention_windows`` windows, drawn by a
 hash.  Then each task descends from that start over all windows of its texts,
 each window once, and the model is the mean of what the tasks arrive at, by
-their windows; so it follows in part how texts are dealt to tasks.  The shares
-of the mixture come from the same pass: from how attention and pair counts
-foresaw each window, before the task learned from it, of those that the start
-had not seen.
+their windows; so it follows in part how texts are dealt to tasks.  While a
+window is learned from, each of its pairs is left out of its own count.
 Counts of the most frequent words (at most ``HEAVY``) go to every task; the
 rest of a text's words meet their counts in a join, where no key has more rows
 than the count at which ``HEAVY`` cuts.
@@ -30,7 +27,6 @@ never held out.  Repeated rows are scored each; other columns are ignored.
 
 from __future__ import annotations
 
-import copy
 import math
 import re
 import zlib
@@ -43,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .attention import CONTEXT, IDS, SPAN, STRIDE, AttentionModel, Descent, windows
+from .attention import CONTEXT, IDS, SPAN, STRIDE, AttentionModel, Descent, PairOffsets, keep_memory, windows
 from .kernel import _LOWER, mix, text_words
 from .storage import discard, materialize
 from .subwords import default_ranks, encode, encoder
@@ -229,7 +225,10 @@ def pair_counts(texts: DataFrame, shipped) -> DataFrame:
 
 
 class PairMixture:
-    """Weights of the attention output and of smoothed pair counts, by the size of the count of the id before."""
+    """Weights of the attention output and of smoothed pair counts, by the size of the count of the id before.
+
+    For models without ``PairOffsets``; ``score_texts`` has no need of it.
+    """
 
     SMOOTH = 8.0
     SIZES = 64
@@ -340,64 +339,63 @@ def all_windows(batches, vocabulary: Vocabulary, share: float, most: int = 1 <<
                 first = last
 
 
-def descend(texts: DataFrame, shipped, share: float, batch: int, expected: float, rate: float = 3e-3, pool: int = 1 << 14) -> tuple[np.ndarray, np.ndarray] | None:
-    """(mean of the parameters that the tasks arrive at, sum of ``PairMixture.seen``) over all windows of ``texts`` (ids); None without one.
+def descend(texts: DataFrame, shipped, counted, share: float, batch: int, expected: float, rate: float = 4e-2, pool: int = 1 << 14) -> np.ndarray | None:
+    """Mean of the parameters that the tasks arrive at over all windows of ``texts`` (ids); None without one.
 
     A task learns from each of its windows once, mixed in pools of about ``pool`` windows, at a rate that falls over
     about ``expected`` windows.  Models are written, a row a task, and summed by about as many tasks as each sums rows.
     """
 
     def run(batches):
-        start, vocabulary, mixture = shipped.value
-        model, draw = copy.deepcopy(start), np.random.default_rng(TaskContext.get().partitionId())
-        descent, seen, done = Descent(model), np.zeros(mixture.SIZES * mixture.STEPS, np.int64), 0
+        keep_memory()
+        start, vocabulary = shipped.value
+        model, draw = start.over(counted.value), np.random.default_rng(TaskContext.get().partitionId())
+        descent, done = Descent(model), 0
 
         def learn(held, rest):
-            nonlocal done, seen
-            keys, targets, drawn = (np.concatenate(x) for x in zip(*held))
+            nonlocal done
+            keys, targets = (np.concatenate(x) for x in zip(*held))
             order = draw.permutation(len(keys))
             cut = len(order) - len(order) % batch if rest else len(order)
             for at in range(0, cut, batch):
                 own = order[at : min(at + batch, cut)]
-                k, t, new = keys[own].astype(np.int64), targets[own].astype(np.int64), ~drawn[own]
-                got, g = model.learn(k, t)
-                seen += mixture.seen(k[new], t[new], got[new])
+                _, g = model.learn(keys[own].astype(np.int64), targets[own].astype(np.int64))
                 done += len(own)
                 descent.step(g, rate * min(1.0, (descent.steps + 1) / 20) * max(0.03, 1 - done / expected))
             left = order[cut:]
-            return [(keys[left], targets[left], drawn[left])], len(left)
+            return [(keys[left], targets[left])], len(left)
 
         held, size = [], 0
-        for found in all_windows(batches, vocabulary, share):
-            held.append(found)
-            size += len(found[0])
+        for keys, targets, _ in all_windows(batches, vocabulary, share):
+            held.append((keys, targets))
+            size += len(keys)
             if size >= pool:
                 held, size = learn(held, True)
         if size:
             learn(held, False)
         if done:
-            yield row(done, descent.all.astype(np.float64) * done, seen)
+            yield row(done, descent.all.astype(np.float64) * done)
 
-    def row(n, total, seen):
-        return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["n", "model", "seen"])
+    def row(n, total):
+        return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "model"])
 
     def added(batches):
-        n, total, seen = 0, 0, 0
+        n, total = 0, 0
         for b in batches:
-            for k, x, y in zip(*(c.to_pylist() for c in b.columns)):
-                n, total, seen = n + k, total + np.frombuffer(x), seen + np.frombuffer(y, np.int64)
+            for k, x in zip(*(c.to_pylist() for c in b.columns)):
+                n, total = n + k, total + np.frombuffer(x)
         if n:
-            yield row(n, total, seen)
+            yield row(n, total)
 
-    kind = "n long, model binary, seen binary"
+    kind = "n long, model binary"
     models = materialize(texts.mapInArrow(run, kind), "models")
     tasks = models.count()
     sums = list(added(models.coalesce(math.isqrt(tasks) + 1).mapInArrow(added, kind).toArrow().to_batches()))
     discard(models)
     if not sums:
         return None
-    n, total, seen = (c.to_pylist()[0] for c in sums[0].columns)
-    return np.frombuffer(total) / n, np.frombuffer(seen, np.int64)
+    n, total = (c.to_pylist()[0] for c in sums[0].columns)
+    return np.frombuffer(total) / n
 
 
 def _score_texts(model: AttentionModel, tables, ids: list[np.ndarray], batch: int = 128, mixture=None) -> np.ndarray:
@@ -465,27 +463,30 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     vocabulary = Vocabulary(sums, path)
     coder = spark.sparkContext.broadcast(vocabulary)
     pairs = pair_counts(texts, coder).groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most IDS * IDS rows
-    mixture = PairMixture(pairs.column("pair").to_numpy(), pairs.column("n").to_numpy(), vocabulary.counts)
+    offsets = PairOffsets(pairs.column("pair").to_numpy(), pairs.column("n").to_numpy(), vocabulary.counts)
     del pairs
+    counted = spark.sparkContext.broadcast(offsets)
     there = sum(sums.values()) / STRIDE + (ends["c"] if ends else 0)  # windows in the training part, or a few less
-    share = min(attention_windows / max(1, there), 0.9)  # some are left that the start has not seen
+    share = min(attention_windows / max(1, there), 0.9)
     keys, targets = sample_windows(texts, coder, share)
-    model = AttentionModel(vocabulary.counts)
+    model = AttentionModel(vocabulary.counts, offsets)
     if len(keys):
         model.train(keys, targets, steps, batch)
+    model = model.over(None)
     del keys, targets
     tasks = max(1, min(int(there) >> 14, texts.rdd.getNumPartitions()))  # a task has windows enough to learn from
-    start = spark.sparkContext.broadcast((model, vocabulary, mixture))
-    found = descend(texts.coalesce(tasks), start, share, 4 * batch, there / tasks) if whole else None
+    start = spark.sparkContext.broadcast((model, vocabulary))
+    found = descend(texts.coalesce(tasks), start, counted, share, 4 * batch, there / tasks) if whole else None
     discard(train)
     start.unpersist()
-    if found:
-        model.take(found[0])
-        mixture.fit(found[1])
-    shipped = spark.sparkContext.broadcast((model, vocabulary, mixture.tables()))
+    if found is not None:
+        model.take(found)
+    shipped = spark.sparkContext.broadcast((model, vocabulary))
 
     def run(batches):
-        model, vocabulary, mixture = shipped.value
+        keep_memory()
+        model, vocabulary = shipped.value
+        model = model.over(counted.value)
         heavy_h, heavy_c = table.value
         value, tables, task, count = np.log10(heavy_c + 0.5), model.tables(), TaskContext.get().partitionId(), 0
         words, seen = WordIds(path), {}
@@ -503,7 +504,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
                 rare = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(hashes.view(np.int64)[~known], pa.int64()))
                 bpe, per = words.ids(raw, starts, lengths, found, first, code)
                 ids, size = vocabulary.ids(bpe, np.r_[0, np.cumsum(per)][np.cumsum(sizes)])
-                score = _score_once(model, tables, np.split(ids, np.cumsum(size)[:-1]), mixture, seen)
+                score = _score_once(model, tables, np.split(ids, np.cumsum(size)[:-1]), None, seen)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(count, count + k) + (task << 33)), batch_.column(0).slice(row, k), batch_.column(2).slice(row, k), pa.array(sizes.astype(np.int64) + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score), rare],
                     ["rid", "doc_id", "held_out", "n_tokens", "k", "s", "score", "rare"],

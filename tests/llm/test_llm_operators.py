@@ -790,3 +790,35 @@ def test_pair_mixture_is_a_distribution():
     keys, targets, _ = lm_scoring.windows(rnd.integers(1, IDS, 40), np.array([40]))
     got = lm_scoring.mixed_log_probs(m, keys, targets, m.tables(), (keep, pair))
     assert (got[targets < 0] == 0).all() and (got[targets >= 0] < 0).all()
+
+
+def test_attention_starts_from_pair_counts():
+    """An attention that adds nothing gives the smoothed counts; a window that is learned from is left out of them; gradients hold over them."""
+    from factloom.llm.attention import CONTEXT, IDS, AttentionModel, PairOffsets, windows
+
+    rnd = np.random.default_rng(3)
+    ids = rnd.integers(1, 60, 416)
+    keys, targets, _ = windows(ids, np.array([416]))
+    before, live = keys[:, CONTEXT:], targets >= 0
+    pairs, counts = np.unique(before[live] * IDS + targets[live], return_counts=True)
+    frequencies = np.bincount(ids, minlength=IDS)
+    m = AttentionModel(frequencies, PairOffsets(pairs, counts, frequencies))
+    drawn = {k: m.p[k] for k in "CU"}
+    m.p |= {k: np.zeros_like(v) for k, v in drawn.items()}
+    table, base = np.zeros((IDS, IDS)), (frequencies + 0.5) / (frequencies + 0.5).sum()
+    table.flat[pairs] = counts
+    n, total = table[before, targets], table.sum(1)[before]
+    want = np.log((n + 8 * base[targets]) / (total + 8))
+    assert np.abs(m.log_probs(keys, targets, m.tables()) - want)[live].max() < 1e-3
+    less = np.log((n - 1 + 8 * base[targets]) / (total - 1 + 8))
+    assert np.abs(m.learn(keys, targets)[0] - less)[live].max() < 1e-3 and (less < want - 0.1)[live].any()
+    m.p = {k: v.astype(np.float64) for k, v in (m.p | drawn).items()}
+    _, g = m.gradients(keys, targets)
+    for k in g:
+        w = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        old, e = m.p[k][w], 1e-3
+        m.p[k][w] = old + e
+        up = m.gradients(keys, targets)[0]
+        m.p[k][w] = old - e
+        assert abs((up - m.gradients(keys, targets)[0]) / 2 / e - g[k][w]) < 1e-3
+        m.p[k][w] = old
